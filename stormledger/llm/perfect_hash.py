@@ -16,12 +16,25 @@ def key_hashes(keys: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((one(k, seed) for k in keys), np.uint64, len(keys))
 
 
-def _slot(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+def mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """A bijective 64-bit mix of unsigned integers, another for each seed."""
+    x = x + np.uint64(int(_MIX) * seed & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _displaced(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     """The slot below ``n`` of hashes under displacements: a multiply-shift mix of both."""
     x = (h ^ (d + np.uint64(1)) * _MIX) * np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return ((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def slot_of(h: np.ndarray, displaced: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each hash in a table of ``n`` keys, given the buckets' displacements."""
+    return _displaced(h, displaced[(h % np.uint64(len(displaced))).astype(np.int64)], n)
 
 
 def displacements(h: np.ndarray, n: int) -> np.ndarray:
@@ -42,7 +55,7 @@ def displacements(h: np.ndarray, n: int) -> np.ndarray:
         own, d, step = h[order[ends[b] - k : ends[b]]], 0, 16
         while True:
             tries = np.arange(d, d + step, dtype=np.uint64)
-            slots = _slot(own[None, :], tries[:, None], n).astype(np.int64)
+            slots = _displaced(own[None, :], tries[:, None], n)
             ok = ~taken[slots].any(axis=1)
             if k > 1:
                 s = np.sort(slots, axis=1)
@@ -75,7 +88,7 @@ class PerfectHash:
             self.place[self.slots(h)] = np.arange(self.n)
 
     def slots(self, h: np.ndarray) -> np.ndarray:
-        return _slot(h, self.displaced[(h % np.uint64(len(self.displaced))).astype(np.int64)], self.n).astype(np.int64)
+        return slot_of(h, self.displaced, self.n)
 
     def lookup(self, asked: list[bytes]) -> np.ndarray:
         """The place of each asked key, or -1."""

@@ -10,20 +10,43 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_documents
 from .common import read_table
 from .token_counts import count_tokens
+from .token_shards import token_shards
+from .warc import archive_pages
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op3_warc": op3_warc,
+    "op7_token_shards": op7_token_shards,
     "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        q as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as h, min(page_id) over (partition by html) as first_id from p)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes,
+          list_aggregate(list_transform(range(32), lambda i:
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as int), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31 as int), 1)), 'string_agg', '') as payload_digest,
+          case when page_id = first_id then 'response' else 'revisit' end as record_type,
+          case when page_id = first_id then null else first_id end as refers_to
+        from q
+    """,
+}

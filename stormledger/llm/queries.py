@@ -13,6 +13,7 @@ from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_shards import token_shards
+from .toxicity import toxicity
 from .warc import archive_pages
 
 
@@ -36,6 +37,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op6_simhash": op6_simhash,
     "op7_token_shards": op7_token_shards,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 

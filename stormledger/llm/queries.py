@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_documents
 from .common import read_table
+from .multiset_hash import edited_fingerprints
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import count_tokens
@@ -29,6 +30,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
+    "op4_multiset_hash": op4_multiset_hash,
     "op6_simhash": op6_simhash,
     "op7_token_shards": op7_token_shards,
     "op8_toxicity": op8_toxicity,

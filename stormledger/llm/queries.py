@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_documents
 from .common import read_table
+from .decontaminate import contaminated
 from .multiset_hash import edited_fingerprints
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -34,6 +35,10 @@ def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_warc": op3_warc,
     "op4_multiset_hash": op4_multiset_hash,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_token_shards": op7_token_shards,
     "op8_toxicity": op8_toxicity,

@@ -169,7 +169,7 @@ def close_pairs(prints: DataFrame, distance: int = 3, spare: int = 3, chunk: int
     return pairs.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, spare: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id reachable).
 
     Texts whose fingerprints differ in at most ``distance`` bits are linked. Equal fingerprints are compared once.
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, id_col:
     """
     each = cut(document_fingerprints(docs, words, id_col, text_col))
     prints = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    of = connected_components(close_pairs(prints, distance))
+    of = connected_components(close_pairs(prints, distance, spare))
     placed = prints.join(of, prints["fp"] == of["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     names = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = placed.join(names, "component").select("fp", "component_id")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.catalogue import FLAGSHIP, ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "eal_by_territory"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, scalars as S
 from ..functions import curves as C
-from ..operators import grid, impact, interdependency as dep, metrics, sampling, shares, tracks
+from ..operators import casestudy as case
+from ..operators import grid, hazard, impact, interdependency as dep, metrics, sampling, shares, tracks
 from ..sources import exposures, sinks, storms
 from ..streaming import losses as stream
 from . import adapters as A
@@ -561,6 +562,60 @@ def polygon_sampling(spark, d):
     return sampling.sample_polygons(A.table(spark, d, "supplier").select(k.alias("feature_id"), F.array(F.array(ring)).alias("polygons")), 100.0)
 
 
+# Hazard fields and case studies
+
+
+@query
+def wind_field(spark, d):
+    rows = A.track_points(spark, d).where("track_id % 10 = 0").withColumn("p_c", F.col("p_c") - 40.0).withColumn("rmax_km", 20.0 + F.col("category") * 5.0)
+    centroids = A.suppliers(spark, d).select(F.col("point_id").alias("centroid_id"), "lat", "lon")
+    return hazard.wind_field(rows, centroids, 0.5).select("track_id", "centroid_id", F.round("intensity", 6).alias("intensity"))
+
+
+@query
+def rain_and_surge(spark, d):
+    km = F.col("p_size") * 6.0
+    wind = F.col("p_partkey") % 60 * 1.0 + 10.0
+    return A.table(spark, d, "part").select("p_partkey", F.round(hazard.rain_rate(km, wind / 0.514444), 6).alias("rain"), F.round(hazard.surge_depth(wind, F.col("p_size") / 20.0, km / 20.0), 6).alias("surge"))
+
+
+@query
+def annual_frequencies(spark, d):
+    rows = hazard.annual_frequency(_events(spark, d).select("event_id").withColumn("frequency", F.lit(1.0)), 10_000)
+    return hazard.annual_frequency(rows, 10_000).groupBy("frequency").agg(F.count("*").alias("n"))
+
+
+@query
+def class_scenarios(spark, d):
+    parts = A.table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), F.col("p_type").alias("class"))
+    rows = A.losses(spark, d).join(parts, "part_id")
+    return case.class_scenarios(rows, rows.groupBy("class").agg(impact.money_sum(F.col("value")).alias("value")))
+
+
+@query
+def top_scenarios(spark, d):
+    return case.top_scenarios(_events(spark, d).withColumn("g", F.col("event_id") % 3), ("g",), {"top10": 0.10, "top5": 0.05})
+
+
+@query
+def portfolio_risk(spark, d):
+    scaler = dep.portfolio_results(dep.territory_results(_propagated(spark, d))).where("hazard = 'storm'").select("scaler")
+    return case.portfolio_risk(_events(spark, d), scaler)
+
+
+@query
+def derived_scenarios(spark, d):
+    rp100 = F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).otherwise(0.0)
+    name = F.element_at(F.array(F.lit("annual"), F.lit("rp50"), F.lit("rp100"), F.lit("event_max")), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    return A.table(spark, d, "supplier").select("s_suppkey", F.round(case.scenario_loss(name, rp100 * 0.01, case.derived_rp50(rp100), rp100, rp100 * 1.5), 6).alias("loss"))
+
+
+@query
+def artefact_coherence(spark, d):
+    rows = A.table(spark, d, "orders").where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("territory"), (F.col("o_orderkey") % 2).alias("run_id"), F.col("o_orderkey").alias("step"), F.col("o_orderdate").alias("at"))
+    return case.coherent(rows)
+
+
 # Listings, logs, sinks
 
 

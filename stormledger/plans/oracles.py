@@ -269,4 +269,33 @@ ORACLES: dict[str, str] = {
     "result_document": f"with {TERRITORIES} select 'territory_results' as part, count(*) as n from tr union all select 'portfolio_results', count(distinct hazard) from tr",
     "expired_runs": "select case when o_orderdate <= timestamp '1998-01-01' then 'expired' else 'kept' end as state, count(*) as n from orders group by 1",
     "windowed_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n, max(value) as top from events group by 1, 2",
+    "wind_field": f"""with {TRACKS}, p as (select track_id, lat, lon, p_c - 40 as p_c, 20::double + category * 5::double as rmax from t where track_id % 10 = 0), {SUPPLIERS},
+        m as (select track_id, point_id as centroid_id, p.lat as lat, rmax, greatest({_km('p.lon', 'p.lat', 's.lon', 's.lat')}, 0.1::double) as km, greatest(1015 - p_c, 0::double) as dp from p join s on abs(p.lat - s.lat) <= 0.5 and abs(p.lon - s.lon) <= 0.5),
+        w as (select *, pow(rmax / km, 1.5::double) as q, km * 1000 * 2 * 7.292e-5 * abs(sin(radians(lat))) / 2 as f from m)
+        select track_id, centroid_id, round(max(sqrt(1.5::double / 1.15::double * q * dp * 100 * exp(-q) + f * f) - f), 6) as intensity from w group by 1, 2""",
+    "rain_and_surge": """with r as (select p_partkey, p_size * 6::double as km, (p_partkey % 60)::double + 10 as v, p_size / 20::double as e from part), u as (select *, 1 + (v / 0.514444::double - 35) / 33 as u from r),
+        c as (select *, -1.10::double + 3.96::double * u as t0, -1.60::double + 4.80::double * u as tm, 64.5::double - 13 * u as rm, 150::double - 16 * u as re from u)
+        select p_partkey, round(greatest(0::double, case when km < rm then t0 + (tm - t0) * km / rm else tm * exp(-(km - rm) / re) end) * 25.4::double / 24, 6) as rain,
+          round(case when v < 26.8224::double then 0::double else greatest(0::double, 0.1023::double * (v - 26.8224::double) + 1.8288::double - 0.2::double * (km / 20) - e) end, 6) as surge from c""",
+    "annual_frequencies": "select 0.0001::double as frequency, count(distinct l_orderkey) as n from lineitem",
+    "class_scenarios": f"""with {PARTS}, val as (select class, {_money('value')} as value from lp group by 1), e as (select class, event_id, {_money('loss')} as loss, 0.0001::double as frequency from lp group by 1, 2),
+        c as (select *, sum(cast(frequency as decimal(38,18))) over (partition by class order by loss desc, event_id rows unbounded preceding) as cum from e),
+        a as (select class, 'annual' as scenario, {_money('loss * frequency')} as loss from lp group by 1
+          union all select class, 'rp' || p, coalesce(max(case when cum >= cast(1 as decimal(38,18)) / p then loss end), min(loss)) from c cross join (values (50), (100)) v(p) group by class, p
+          union all select class, 'event_max', max(loss) from e group by 1)
+        select a.class, scenario, least(loss, greatest(value, 0::double)) as loss from a join val on val.class = a.class""",
+    "top_scenarios": f"""with {EVENTS}, r as (select event_id % 3 as g, loss, row_number() over (partition by event_id % 3 order by loss desc, event_id) as r, count(*) over (partition by event_id % 3) as n from ev)
+        select g, scenario, sum(cast(loss as decimal(24,6)))::double / count(*) as mean_loss from r join (values ('top10', 0.1::double), ('top5', 0.05::double)) f(scenario, share) on r <= greatest(1, ceil(n * share)) group by 1, 2""",
+    "portfolio_risk": f"""with {PORTFOLIO}, k as (select round(total_eai / greatest(direct_eai, 1::double), 6) as scaler from po where hazard = 'storm'), {EVENTS},
+        cc as (select *, cast(frequency as decimal(38,18)) as f, sum(cast(frequency as decimal(38,18))) over (order by loss desc, event_id rows unbounded preceding) as cum from ev where loss > 0),
+        ca as (select *, cast(frequency as decimal(38,18)) as f, sum(cast(frequency as decimal(38,18))) over (order by loss, event_id rows unbounded preceding) as cum from ev),
+        vr as (select coalesce(min(case when cum >= (select sum(f) from ca) * 0.95::decimal(3,2) then loss end), max(loss)) as var from ca),
+        x as (select """
+    + ", ".join(f"(select coalesce(max(case when cum >= cast(1 as decimal(38,18)) / {p} then loss end), 0::double) from cc) as pml_{p}" for p in (10, 20, 50, 100, 200))
+    + """, (select sum(cast(loss as decimal(24,6)) * cast(f as decimal(12,8)))::double / sum(f)::double from ca where loss >= (select var from vr)) as tvar, (select max(loss) from ev) as max_event)
+        select """
+    + ", ".join(f"round(pml_{p} * scaler, 2) as pml_{p}" for p in (10, 20, 50, 100, 200))
+    + """, round(greatest(pml_200, max_event) * scaler, 2) as pml_1000, round(tvar * scaler, 2) as tvar, round(max_event * scaler, 2) as max_event from x cross join k""",
+    "derived_scenarios": "with r as (select s_suppkey, greatest(s_acctbal, 0::double) as x from supplier) select s_suppkey, round(case s_suppkey % 4 when 0 then x * 0.01::double when 1 then 0.86::double * x when 2 then x else x * 1.5::double end, 6) as loss from r",
+    "artefact_coherence": "with r as (select o_custkey as territory, o_orderkey % 2 as run_id, o_orderdate < lag(o_orderdate) over (partition by o_custkey order by o_orderkey) as back from orders where o_custkey % 7 = 0) select territory, count(distinct run_id) = 1 as one_run, not coalesce(bool_or(back), false) as ordered from r group by 1",
 }

@@ -14,13 +14,13 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to its smallest one (or itself)."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them; edges point from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -33,8 +33,9 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node reachable) for every node of ``edges`` (columns ``u`` and ``v``, long).
 
-    Rows with a null or with u = v, and repeated rows, change nothing. Each round is cut in the shared folder. A node with
-    very many edges is a hot key of a join of two shuffled sides, which adaptive execution splits.
+    Rows with a null or with u = v, and repeated rows, change nothing. Each round is cut in the shared folder, and so are the
+    nodes' least neighbours: a node with very many edges is then a hot key of a join of two sides that are shuffled
+    for it alone, which adaptive execution splits.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)
@@ -42,7 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges))))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -87,10 +87,14 @@ def benchmark_words(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "
 
 @dataclass
 class Blocks:
-    """The benchmark words of some documents, by blocks of STEP words; passage b is blocks b and b + 1."""
+    """The benchmark words of some documents, by blocks of STEP words; passage b is blocks b and b + 1.
+
+    ``later`` is whether a word's block has another of its document before it, so that it is in two passages.
+    """
 
     terms: np.ndarray
     block: np.ndarray
+    later: np.ndarray
     n: int
 
     @classmethod
@@ -99,16 +103,16 @@ class Blocks:
         terms = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int32)
         sizes = np.array([int(p[-1]) // STEP + 2 for p in places])  # one empty block ends each document
         base = np.cumsum(sizes) - sizes
-        block = np.concatenate([p // STEP + b for p, b in zip(places, base, strict=True)]) if places else np.empty(0, np.int64)
-        return cls(terms, block, int(sizes.sum())), places, base
+        own = np.concatenate(places) // STEP if places else np.empty(0, np.int64)
+        block = own.astype(np.int64) + np.repeat(base, [len(p) for p in places])
+        return cls(terms, block, own > 0, int(sizes.sum())), places, base
 
 
 def passage_terms(blocks: Blocks, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (passage, term) of all passages, in order. Passage b of a document is its words from b * STEP on."""
-    first = blocks.block.astype(np.int64) * n_terms + blocks.terms
-    second = np.maximum(blocks.block.astype(np.int64) - 1, 0) * n_terms + blocks.terms
-    keys = np.unique(np.concatenate([first, second]))
-    return keys // n_terms, (keys % n_terms).astype(np.int64)
+    first = blocks.block * n_terms + blocks.terms
+    keys = np.unique(np.concatenate([first, first[blocks.later] - n_terms]))
+    return keys // n_terms, keys % n_terms
 
 
 def passage_counts(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -152,7 +156,7 @@ def corpus_directions(hits: DataFrame, idf: np.ndarray, rank: int = RANK, seed:
                 continue
             # One row for each second passage: together they are the whole text, each word once.
             row = blocks.block // 2
-            keys = np.unique(row.astype(np.int64) * n_terms + blocks.terms)
+            keys = np.unique(row * n_terms + blocks.terms)
             row, term = keys // n_terms, keys % n_terms
             starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             y = np.add.reduceat(omega[term], starts, axis=0)

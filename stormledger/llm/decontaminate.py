@@ -30,8 +30,8 @@ PASSAGE, STEP = 64, 32
 RANK, COSINE, BLOCK_ITEMS = 32, 0.5, 512
 #: An item is found where this share of its words is a common subsequence; or this much less, with this share of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
-#: Terms whose sums are gathered at once in the distributed product.
-CHUNK_TERMS = 128
+#: Terms whose sums are gathered at once in the distributed product; passages whose latent vectors a task makes at once.
+CHUNK_TERMS, PASSAGES_AT_ONCE = 128, 1024
 _words = re.compile(r"[^\W_]+").findall
 _sentence_end = re.compile(r"[.!?]\s+")
 
@@ -108,10 +108,14 @@ class Blocks:
         return cls(terms, block, own > 0, int(sizes.sum())), places, base
 
 
-def passage_terms(blocks: Blocks, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (passage, term) of all passages, in order. Passage b of a document is its words from b * STEP on."""
-    first = blocks.block * n_terms + blocks.terms
-    keys = np.unique(np.concatenate([first, first[blocks.later] - n_terms]))
+def passage_terms(blocks: Blocks, n_terms: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (passage, term) of all or the wanted passages, in order. Passage b of a document is its words from b * STEP on."""
+    block, terms = blocks.block, blocks.terms
+    first = block * n_terms + terms
+    if wanted is None:
+        keys = np.unique(np.concatenate([first, first[blocks.later] - n_terms]))
+    else:
+        keys = np.unique(np.concatenate([first[wanted[block]], first[blocks.later & wanted[block - 1]] - n_terms]))
     return keys // n_terms, keys % n_terms
 
 
@@ -212,6 +216,7 @@ class Searcher:
         #: A cosine of COSINE needs so much of the squared norm at least.
         self.least = COSINE**2 * float((norms**2).min())
         self.squares = idf**2
+        self.member = vectors.T != 0
 
     def find(self, batch: pa.RecordBatch) -> Iterator[tuple]:
         """(doc_id, item_id, cosine, lcs, lcs_ratio, answer_ratio, start_word) of items found in the batch's documents."""
@@ -220,21 +225,17 @@ class Searcher:
             return
         mass = np.bincount(blocks.block, weights=self.squares[blocks.terms], minlength=blocks.n)
         mass[:-1] += mass[1:]  # words counted with their repeats: an upper bound
-        likely = np.flatnonzero(mass >= self.least)
-        if not len(likely):
+        of, term = passage_terms(blocks, len(self.idf), mass >= self.least)
+        if not len(of):
             return
-        starts = np.searchsorted(blocks.block, likely)
-        ends = np.searchsorted(blocks.block, likely + 2)
-        own = [np.unique(blocks.terms[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        there = sizes > 0
-        likely, own, sizes = likely[there], [o for o in own if len(o)], sizes[there]
-        for a in range(0, len(likely), 4096):
-            part, n = own[a : a + 4096], sizes[a : a + 4096]
-            x = np.add.reduceat(self.embedding[np.concatenate(part)], np.cumsum(n) - n, axis=0)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        for a in range(0, len(starts), PASSAGES_AT_ONCE):
+            part = starts[a : a + PASSAGES_AT_ONCE]
+            stop = starts[a + PASSAGES_AT_ONCE] if a + PASSAGES_AT_ONCE < len(starts) else len(of)
+            x = np.add.reduceat(self.embedding[term[part[0] : stop]], part - part[0], axis=0)
             norm = np.linalg.norm(x, axis=1)
             cosine = (x @ self.queries) / np.where(norm > 0, norm, 1)[:, None]
-            self.candidates(likely[a : a + 4096], cosine)
+            self.candidates(of[part], cosine)
         yield from self.verify(batch.column(0).to_pylist(), blocks, places, base)
 
     def candidates(self, passages: np.ndarray, cosine: np.ndarray) -> None:
@@ -255,20 +256,25 @@ class Searcher:
             word = (passage - int(base[d])) * STEP
             lo, hi = np.searchsorted(at, (word - n, word + PASSAGE + n))
             at, terms = at[lo:hi], terms[lo:hi]
-            inside = np.isin(terms, sequence)
-            at, terms = at[inside], terms[inside]
-            if not len(at):
+            inside = self.member[i][terms]
+            # No common subsequence is longer than the item's words that are there.
+            if np.count_nonzero(inside) / n < LCS_WITH_ANSWER:
                 continue
+            at, terms = at[inside], terms[inside]
             # The stretch of about the item's length that has most of its weight.
             reach = np.searchsorted(at, at + math.ceil(1.25 * n))
             weight = np.append(0, np.cumsum(self.idf[terms]))
             a = int(np.argmax(weight[reach] - weight[:-1]))
             stretch = terms[a : reach[a]]
+            if len(stretch) / n < LCS_WITH_ANSWER:
+                continue
             common = lcs_length(sequence, stretch)
+            ratio = common / n
+            if ratio < LCS_WITH_ANSWER:
+                continue
             tail = sequence[n - self.items.answers[i] :]
             answer = lcs_length(tail, stretch) / len(tail)
-            ratio = common / n
-            if ratio >= LCS or ratio >= LCS_WITH_ANSWER and answer >= ANSWER:
+            if ratio >= LCS or answer >= ANSWER:
                 row = (common, cosine, -int(at[a]), ratio, answer)
                 best[d, i] = max(best.get((d, i), row), row)
         for (d, i), (common, cosine, start, ratio, answer) in best.items():

@@ -5,12 +5,16 @@ least length by the position of their least hash: a compact window (p, a, b) sta
 shingles before p and b after it. Windows of different texts that share a function and a hash meet; where their extents leave
 room for a passage, all passages there share that min-hash. Passages that share it under enough functions are
 candidates, and their shingles decide.
+
+A key's windows first meet its leaders alone. Where a window's check fails, the windows of its key meet again by the
+min-hashes of as many functions as must agree, first with a leader, then those that failed with all others.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -126,6 +130,15 @@ def _combine(key: np.ndarray, tid: np.ndarray, spot: np.ndarray) -> Iterator[pa.
     yield _rows(key[follow], tid[follow], spot[follow], tid[of], spot[of])
 
 
+def _matched(key: np.ndarray, tid: np.ndarray, spot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What `_combine` gives, of the leaders those alone whose key has others."""
+    lead, follow = _combine(key, tid, spot)
+    k = lead.column(0).to_numpy()
+    same = np.concatenate([[False], k[1:] == k[:-1], [False]])
+    yield lead.filter(pa.array(same[1:] | same[:-1]))
+    yield follow
+
+
 def _rows(key: np.ndarray, tid: np.ndarray, spot: np.ndarray, leader: np.ndarray | None, leader_spot: np.ndarray | None) -> pa.RecordBatch:
     none = pa.nulls(len(key), pa.int64())
     return pa.RecordBatch.from_pydict({"key": key, "tid": tid, "spot": spot, "leader": none if leader is None else leader, "leader_spot": none if leader_spot is None else leader_spot})
@@ -173,7 +186,10 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """All matches: those within tasks, and those of leaders that meet by key; one shuffle of the leaders."""
+    """All matches: those within tasks, and those of leaders that meet by key; one shuffle of the leaders.
+
+    Leaders of a key that has several are given too, without a leader of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = tid = spot = np.empty(0, np.int64)
@@ -185,14 +201,14 @@ def matches(found: DataFrame) -> DataFrame:
             key, tid, spot = (np.append(x, y) for x, y in zip((key, tid, spot), own, strict=True))
             if len(key) and key[0] != key[-1]:
                 last = int(np.searchsorted(key, key[-1]))
-                yield from list(_combine(key[:last], tid[:last], spot[:last]))[1:]
+                yield from _matched(key[:last], tid[:last], spot[:last])
                 key, tid, spot = key[last:], tid[last:], spot[last:]
             elif len(key) > COMBINED:  # one key with very many leaders: go on with fewer
                 lead, follow, of = meet(key, tid, spot)
                 yield _rows(key[follow], tid[follow], spot[follow], tid[of], spot[of])
                 key, tid, spot = key[lead], tid[lead], spot[lead]
         if len(key):
-            yield from list(_combine(key, tid, spot))[1:]
+            yield from _matched(key, tid, spot)
 
     place = F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("tid", "leader"))
     return found.repartition(place).sortWithinPartitions(F.col("leader").isNull(), "key", "tid").mapInArrow(run, _WINDOW)
@@ -331,6 +347,97 @@ def similar_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARIT
             todo += [part[: longest + 1], part[longest + 1 :]]
 
 
+def unsettled(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The windows of all keys under which some window's match wasn't verified: ``key``, ``tid``, ``spot``."""
+    good = links.select("tid", "leader", "start", "stop")
+    place = F.shiftright("spot", 12)
+    failed = found.where("leader is not null").join(good, ["tid", "leader"], "left").groupBy("key", "tid", "spot", "leader").agg(F.coalesce(F.max((place >= F.col("start")) & (place < F.col("stop"))), F.lit(False)).alias("ok")).where("not ok").select("key").distinct()
+    sides = found.select("key", "tid", "spot").unionAll(found.where("leader is not null").select("key", F.col("leader").alias("tid"), F.col("leader_spot").alias("spot")))
+    return sides.join(cut(failed), "key", "left_semi").distinct()
+
+
+def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFrame:
+    """Passages by the min-hashes of each ``agree`` functions: ``key``, ``tid``, and the first and last start ``lo``, ``hi``.
+
+    Two passages that agree under ``agree`` functions or more share a key, whichever windows they lie in.
+    """
+
+    def passages(tid: np.ndarray, key: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
+        p, a, b = spot >> 12, spot >> 6 & 63, spot & 63
+        lo, hi = p - a, p + b - reach + 1
+        new = np.append(True, tid[1:] != tid[:-1])
+        first = np.flatnonzero(new)
+        room = np.maximum.reduceat(hi, first) + 2
+        base = np.cumsum(room) - room
+        shift = base[np.cumsum(new) - 1]
+        lo, hi = lo + shift, hi + shift
+        edges = np.unique(np.concatenate([lo, hi + 1]))  # between two edges no function's window changes
+        own = np.searchsorted(base, edges, "right") - 1
+        at: dict[int, tuple] = {}
+        for f in range(FUNCTIONS):
+            on = np.flatnonzero(key & 7 == f)
+            if len(on):
+                on = on[np.argsort(lo[on], kind="stable")]
+                i = np.searchsorted(lo[on], edges, "right") - 1
+                at[f] = (i >= 0) & (hi[on[i]] >= edges), key[on[i]].view(np.uint64)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for some in combinations(sorted(at), agree):
+            e = np.flatnonzero(np.logical_and.reduce([at[f][0] for f in some]))
+            if len(e):
+                k = np.zeros(len(e), np.uint64)
+                for f in some:
+                    k = mixed(k ^ at[f][1][e], 50 + f)
+                head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (np.diff(e) > 1) | (own[e[1:]] != own[e[:-1]])]))
+                tail = np.append(head[1:], len(e)) - 1
+                text = own[e[head]]
+                for x, y in zip(out, (k[head].view(np.int64), tid[first][text], edges[e[head]] - base[text], edges[e[tail] + 1] - 1 - base[text]), strict=True):
+                    x.append(y)
+        return pa.RecordBatch.from_pydict({n: np.concatenate(x) if x else np.empty(0, np.int64) for n, x in zip(("key", "tid", "lo", "hi"), out, strict=True)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((0, 3), np.int64)
+        for batch in batches:
+            rest = np.concatenate([rest, np.column_stack([batch.column(i).to_numpy() for i in range(3)])])
+            last = np.flatnonzero(rest[:, 0] != rest[-1, 0]) if len(rest) else []
+            if len(last):  # the last text may go on
+                yield passages(*rest[: last[-1] + 1].T.copy())
+                rest = rest[last[-1] + 1 :]
+        if len(rest):
+            yield passages(*rest.T.copy())
+
+    rows = found.select("tid", "key", "spot").repartition("tid").sortWithinPartitions("tid").mapInArrow(run, "key long, tid long, lo long, hi long")
+    return rows.groupBy("key", "tid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _hulls(met: DataFrame) -> DataFrame:
+    """One pair for each two texts of ``met``, over all passages with which they meet."""
+    ends = [F.min("lo").cast("int").alias("start"), (F.max("hi") + REACH).cast("int").alias("stop")]
+    ends += [F.min("leader_lo").cast("int").alias("leader_start"), (F.max("leader_hi") + REACH).cast("int").alias("leader_stop")]
+    return met.groupBy("tid", "leader").agg(*ends)
+
+
+def remaining_links(found: DataFrame, links: DataFrame, check) -> DataFrame:
+    """Links of the windows that the first matches left unsettled; ``check`` verifies pairs.
+
+    By each key of ``agreeing``, texts are checked against the first text; those that fail there, against all texts of the key.
+    So no text is left with a failed partner only, and copies cost one check.
+    """
+    rows = cut(agreeing(unsettled(found, links)))
+    first = rows.groupBy("key").agg(F.min(F.struct("tid", "lo", "hi")).alias("l"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("key", F.col("l.tid").alias("leader"), F.col("l.lo").alias("leader_lo"), F.col("l.hi").alias("leader_hi"))
+    met = cut(rows.join(first, "key"))
+    one = check(_hulls(met.where("tid <> leader")))
+    good = one.select("tid", "leader", "start", "stop")
+    inside = F.coalesce(F.max((F.col("start") < F.col("hi") + REACH) & (F.col("stop") > F.col("lo"))), F.lit(False))
+    left = met.where("tid <> leader").join(good, ["tid", "leader"], "left").groupBy("key", "tid", "lo", "hi", "leader").agg(inside.alias("ok")).where("not ok").drop("ok")
+    left = cut(left.select("key", *[F.col(c).alias(f"own_{c}") for c in ("tid", "lo", "hi")], "leader"))
+    every = met.select("key", "tid", "lo", "hi").join(left, "key").where("tid <> own_tid and tid <> leader")
+    swap = F.col("own_tid") > F.col("tid")
+    side = lambda c, up: F.when(swap == F.lit(up), F.col(f"own_{c}")).otherwise(F.col(c))
+    every = every.select(*[side(c, True).alias(c) for c in ("tid", "lo", "hi")], side("tid", False).alias("leader"), side("lo", False).alias("leader_lo"), side("hi", False).alias("leader_hi"))
+    return one.unionAll(check(_hulls(every)))
+
+
 def merged(spans: list) -> str:
     """Sorted spans as ``from-to`` in words, overlapping ones joined."""
     out: list[list[int]] = []
@@ -349,8 +456,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the same text; ``n_links``, texts it was verified against with success; ``spans``, its repeated passages as ``from-to`` in words; of
     texts with copies that have 50 words, the whole. Passages are words in lower case, compared by their shingles of five.
 
-    A window is verified against the leader of its key, not against every other window, so classes come without all
-    pairs. Null texts are empty, short texts have no passages. Ids must be whole numbers; rows with a null id are
+    A window is verified against the leader of its key; only where that fails, against others that share enough
+    min-hashes with it (see ``remaining_links``). So copies' classes come without all pairs. Null texts are empty, short texts have no passages. Ids must be whole numbers; rows with a null id are
     left out of all groups (class null, no spans), repeated ids are kept. Other columns are ignored.
     """
 
@@ -360,16 +467,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
-    found = cut(matches(windows(known)).where("leader is not null"))
-    pairs = candidate_passages(found)
+    found = cut(matches(windows(known)))
     each = cut(known.select("doc_id", key_of("text").alias("tid"), F.size(F.split("text", r"\s+")).alias("n")))
     heads = cut(each.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.max("n").alias("n")))
-    placed = pairs.join(heads.select("tid", "doc"), "tid").join(heads.select(F.col("tid").alias("leader"), F.col("doc").alias("leader_doc")), "leader")
-    placed = cut(placed)
-    sides = (("doc", "start", "stop"), ("leader_doc", "leader_start", "leader_stop"))
-    one, two = (placed.select(F.col(doc).alias("at"), _down(s).alias("lo"), _up(e).alias("hi")) for doc, s, e in sides)
-    asked = one.unionAll(two).distinct()
-    links = cut(verified(placed, cut(passage_prints(known, asked))))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        placed = pairs.join(heads.select("tid", "doc"), "tid").join(heads.select(F.col("tid").alias("leader"), F.col("doc").alias("leader_doc")), "leader")
+        placed = cut(placed)
+        sides = (("doc", "start", "stop"), ("leader_doc", "leader_start", "leader_stop"))
+        one, two = (placed.select(F.col(doc).alias("at"), _down(s).alias("lo"), _up(e).alias("hi")) for doc, s, e in sides)
+        return cut(verified(placed, cut(passage_prints(known, one.unionAll(two).distinct()))))
+
+    links = check(candidate_passages(found.where("leader <> tid")))
+    links = cut(links.unionAll(remaining_links(found, links, check)))
     of = connected_components(links.select(F.col("tid").alias("u"), F.col("leader").alias("v")))
     sides = links.select("tid", F.col("leader").alias("other"), "start", "stop").unionAll(links.select(F.col("leader").alias("tid"), F.col("tid").alias("other"), F.col("leader_start").alias("start"), F.col("leader_stop").alias("stop")))
 

@@ -310,6 +310,27 @@ def test_repeated_passages_shared_by_many(spark):
     assert {x.class_id for x in got} == {0} and all(x.spans for x in got)
 
 
+def test_repeated_passages_of_common_sentences(spark):
+    """Passages of sentences that many texts hold one by one; brute force over runs of 50 equal words."""
+    r = random.Random(15)
+    lines = [prose(r, 13, 9000) for _ in range(12)]
+    texts = [prose(r, 40, 9000) + " " + " ".join(x + " " + prose(r, 40, 9000) for x in r.sample(lines, 4)) for _ in range(240)]
+    for i in range(0, 60, 2):  # each two texts share a passage of their own
+        passage = " ".join(r.sample(lines, 6))
+        for k in (i, i + 1):
+            texts[k] = prose(r, 20, 9000) + " " + passage + " " + texts[k]
+    runs = defaultdict(set)
+    for k, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            runs[" ".join(w[j : j + 50])].add(k)
+    pairs = {tuple(sorted(x)) for x in runs.values() if len(x) == 2}
+    assert len(pairs) >= 30
+    got = {x.doc_id: x for x in repeated_passages(documents(spark, texts)).collect()}
+    assert [(a, b) for a, b in sorted(pairs) if got[a].class_id != got[b].class_id or not got[a].spans or not got[b].spans] == []
+    assert {k for k, x in got.items() if x.spans} == {k for x in pairs for k in x}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

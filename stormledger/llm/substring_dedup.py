@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, texts
@@ -101,7 +101,8 @@ def meet(key: np.ndarray, tid: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray
     """For sorted rows the indices of leaders, of followers, and of each follower's leader.
 
     A window follows the first leader of its key, of whichever text, that leaves room for a passage; without one it leads.
-    So a key with very many windows has few leaders, and every window has one.
+    So a key with very many windows has few leaders, and every window has one. A leader of the window's own text is no
+    match, but is given, so that the window isn't lost (see ``unsettled``).
     """
     a, b = spot >> 6 & 63, spot & 63
     new = np.append(True, key[1:] != key[:-1])
@@ -117,7 +118,6 @@ def meet(key: np.ndarray, tid: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray
         leader_of[open_[room]] = lead[room]
         open_ = open_[~room]
     follower = np.flatnonzero(leader_of != np.arange(len(key)))
-    follower = follower[tid[follower] != tid[leader_of[follower]]]
     return np.flatnonzero(leader_of == np.arange(len(key))), follower, leader_of[follower]
 
 
@@ -351,15 +351,16 @@ def unsettled(found: DataFrame, links: DataFrame) -> DataFrame:
     """The windows of all keys under which some window's match wasn't verified: ``key``, ``tid``, ``spot``."""
     good = links.select("tid", "leader", "start", "stop")
     place = F.shiftright("spot", 12)
-    failed = found.where("leader is not null").join(good, ["tid", "leader"], "left").groupBy("key", "tid", "spot", "leader").agg(F.coalesce(F.max((place >= F.col("start")) & (place < F.col("stop"))), F.lit(False)).alias("ok")).where("not ok").select("key").distinct()
-    sides = found.select("key", "tid", "spot").unionAll(found.where("leader is not null").select("key", F.col("leader").alias("tid"), F.col("leader_spot").alias("spot")))
-    return sides.join(cut(failed), "key", "left_semi").distinct()
+    matched = found.where("leader is not null")
+    failed = matched.join(good, (matched["tid"] == good["tid"]) & (matched["leader"] == good["leader"]) & (place >= good["start"]) & (place < good["stop"]), "left_anti").select("key").distinct()
+    sides = found.select("key", "tid", "spot").unionAll(matched.select("key", F.col("leader").alias("tid"), F.col("leader_spot").alias("spot")).distinct())
+    return sides.join(cut(failed), "key", "left_semi")
 
 
 def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFrame:
     """Passages by the min-hashes of each ``agree`` functions: ``key``, ``tid``, and the first and last start ``lo``, ``hi``.
 
-    Two passages that agree under ``agree`` functions or more share a key, whichever windows they lie in.
+    Keys of one text alone are left out. Two passages that agree under ``agree`` functions or more share a key, whichever windows they lie in.
     """
 
     def passages(tid: np.ndarray, key: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
@@ -392,7 +393,13 @@ def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFr
                 text = own[e[head]]
                 for x, y in zip(out, (k[head].view(np.int64), tid[first][text], edges[e[head]] - base[text], edges[e[tail] + 1] - 1 - base[text]), strict=True):
                     x.append(y)
-        return pa.RecordBatch.from_pydict({n: np.concatenate(x) if x else np.empty(0, np.int64) for n, x in zip(("key", "tid", "lo", "hi"), out, strict=True)})
+        k, t, lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+        if len(k):  # a text's places under a key as one
+            order = np.lexsort((t, k))
+            k, t, lo, hi = k[order], t[order], lo[order], hi[order]
+            head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
+            k, t, lo, hi = k[head], t[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
+        return pa.RecordBatch.from_pydict({"key": k, "tid": t, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((0, 3), np.int64)
@@ -405,8 +412,9 @@ def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFr
         if len(rest):
             yield passages(*rest.T.copy())
 
-    rows = found.select("tid", "key", "spot").repartition("tid").sortWithinPartitions("tid").mapInArrow(run, "key long, tid long, lo long, hi long")
-    return rows.groupBy("key", "tid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rows = found.select("tid", "key", "spot").repartition("tid").sortWithinPartitions("tid").mapInArrow(run, "key long, tid long, lo int, hi int")
+    over = Window.partitionBy("key")
+    return rows.withColumn("n", F.count("*").over(over)).where("n > 1").drop("n")
 
 
 def _hulls(met: DataFrame) -> DataFrame:
@@ -428,8 +436,9 @@ def remaining_links(found: DataFrame, links: DataFrame, check) -> DataFrame:
     met = cut(rows.join(first, "key"))
     one = check(_hulls(met.where("tid <> leader")))
     good = one.select("tid", "leader", "start", "stop")
-    inside = F.coalesce(F.max((F.col("start") < F.col("hi") + REACH) & (F.col("stop") > F.col("lo"))), F.lit(False))
-    left = met.where("tid <> leader").join(good, ["tid", "leader"], "left").groupBy("key", "tid", "lo", "hi", "leader").agg(inside.alias("ok")).where("not ok").drop("ok")
+    failed = met.where("tid <> leader")
+    inside = (good["start"] < failed["hi"] + REACH) & (good["stop"] > failed["lo"])
+    left = failed.join(good, (failed["tid"] == good["tid"]) & (failed["leader"] == good["leader"]) & inside, "left_anti")
     left = cut(left.select("key", *[F.col(c).alias(f"own_{c}") for c in ("tid", "lo", "hi")], "leader"))
     every = met.select("key", "tid", "lo", "hi").join(left, "key").where("tid <> own_tid and tid <> leader")
     swap = F.col("own_tid") > F.col("tid")

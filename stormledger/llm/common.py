@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are held as Python objects at once.
 SLICE_ROWS = 256
@@ -18,12 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, in local mode alone, a new local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="stormledger-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -40,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame, **extra: Column) -> DataFrame:
+    """``docs`` with an identity for each row, written to the shared folder and read again: ``row`` (long) and ``doc`` (all of its columns), and ``extra`` columns.
+
+    Ids may repeat or be null, so what has to be said of a row is said of its ``row``. Nested, no column's name clashes.
+    """
+    more = [c.alias(n) for n, c in extra.items()]
+    out = fresh_dir(docs.sparkSession, "numbered")
+    docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *more).write.parquet(out)
+    return docs.sparkSession.read.parquet(out)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of few rows: bounds the Python objects that a task holds."""
     for batch in batches:

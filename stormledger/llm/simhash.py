@@ -88,6 +88,12 @@ def block_masks(bits: int, distance: int, spare: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, spare)]
 
 
+def split_bits(mask: int, parts: int) -> list[int]:
+    """The set bits of ``mask`` in ``parts`` masks of about equal size."""
+    bits = [1 << b for b in range(64) if mask >> b & 1]
+    return [sum(bits[round(i * len(bits) / parts) : round((i + 1) * len(bits) / parts)]) for i in range(parts)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -139,16 +145,24 @@ def linked(group: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray
 def close_pairs(prints: DataFrame, distance: int = 3, spare: int = 3, chunk: int = CHUNK) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints (column ``fp``) with the components of all pairs within ``distance``.
 
-    Fingerprints meet in the blocks they share. A block's fingerprints beyond ``chunk`` are split by hash into chunks, each two
-    of which are compared in a group of their own, so no group is larger than two chunks and no pair is left out.
-    A group gives one edge a row at most, however many pairs it has.
+    Fingerprints meet in the blocks they share. A block with more than ``chunk`` fingerprints is refined: a close pair in it
+    differs in at most ``distance`` of the remaining bits, so it also shares one of ``distance`` + 1 parts of those. What is still
+    larger is split by hash into chunks, each two of which are compared in a group of their own. So no group is
+    larger than two chunks, and no pair is left out. A group gives one edge a row at most, however many pairs it has.
     """
     masks = block_masks(64, distance, spare)
+    finer = F.array(*[F.array(*[F.lit(_signed(x)) for x in split_bits(~m & (1 << 64) - 1, distance + 1)]) for m in masks])
     keys = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "key"))
     shared = keys.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    meet = keys.join(shared, ["mask", "key"]).withColumn("m", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+    meet = keys.join(shared, ["mask", "key"])
+    small = meet.where(F.col("n") <= chunk).select(F.xxhash64("mask", "key").alias("g"), "fp")
+    parts = F.transform(F.get(finer, F.col("mask")), lambda x: F.col("fp").bitwiseAND(x))
+    large = meet.where(F.col("n") > chunk).select("mask", "key", "fp", F.posexplode(parts).alias("part", "rest"))
+    shared = large.groupBy("mask", "key", "part", "rest").agg(F.count("*").alias("n")).where("n > 1")
+    large = large.join(shared, ["mask", "key", "part", "rest"]).withColumn("m", F.ceil(F.col("n") / chunk).cast("int")).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     others = F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda j: j != F.col("c")))
-    pairs = meet.withColumn("j", F.explode(others)).select(F.xxhash64("mask", "key", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "fp")
+    split = large.withColumn("j", F.explode(others)).select(F.xxhash64("mask", "key", "part", "rest", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "fp")
+    pairs = small.unionAll(split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, fp = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -181,6 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, spare: i
     prints = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     of = connected_components(close_pairs(prints, distance, spare))
     placed = prints.join(of, prints["fp"] == of["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    names = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    # A component may hold a third of all rows: both sides of the join are shuffled for it alone, so adaptive execution splits it.
+    names = cut(placed.groupBy("component").agg(F.min("least_id").alias("component_id")))
     named = placed.join(names, "component").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

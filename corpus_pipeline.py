@@ -11,42 +11,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.llm.bpe_codec import encode_documents
-from stormledger.llm.common import fresh_dir, read_table
+from stormledger.llm.common import fresh_dir, numbered, read_table
 from stormledger.llm.decontaminate import contaminated
+from stormledger.llm.near_copies import without_near_copies
 from stormledger.llm.secrets import redact
-from stormledger.llm.simhash import near_duplicates
 from stormledger.llm.toxicity import fit, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose text the grammar, learned from ``labels``, rejects."""
+    """Without the documents whose text the grammar, learned from ``labels``, rejects.
+
+    Each row is judged by its own text: null and empty texts stay, repeated rows and rows with null or repeated ids fare alike.
+    Without labelled rows of both kinds nothing is rejected; an empty table stays empty; further columns are kept.
+    """
     return without_toxic(docs, fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Fingerprints of word pairs within 4 of 64 bits: on the tables here that finds more near copies than longer shingles
-    do, and hardly any two texts without common passages.
+    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words; candidates come from blocks of seeded SimHash
+    fingerprints. Rows are told apart by their own identity: of repeated rows one stays, rows with a null id come last in
+    their group, and a text that nothing resembles stays whatever its id. Null texts are empty, texts without words are copies.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"), words=2, distance=4)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold an item of ``benchmark``."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Without the documents that hold an item of ``benchmark``.
+
+    Each row is searched by its own text, whatever its id (null or repeated); null and empty texts hold nothing. With an
+    empty benchmark all rows stay; further columns are kept.
+    """
+    rows = numbered(docs)
+    found = contaminated(rows.select("row", F.col("doc.text").alias("text")), read_table(spark, sf_dir, "benchmark"), id_col="row")
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; live-looking credentials are masked in their texts, and ``n_chars`` follows."""
+    """All documents; live-looking credentials are masked in their texts, and ``n_chars`` follows.
+
+    Each row is masked by its own text's spans, whatever its id. Null texts stay null with null ``n_chars``; an empty table stays empty.
+    """
     masked = redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of all documents."""
+    """Token counts and digests of all documents, one row for each row, ids as they are; null texts are empty."""
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -2,7 +2,8 @@
 
 New pre-tokens of a batch are held as one ragged numpy array of symbols. Each round looks up the ranks of all
 neighbouring pairs, takes every sequence's lowest, merges it wherever it occurs in that sequence, and drops sequences
-that have no pair left; the surviving symbols are the count. No ids are made.
+that have no pair left; the surviving symbols are the count. No ids are made. A long sequence has rounds of its own that
+touch only the places that the last merges changed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import gc
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from .text_parts import letters_and_marks, parts
 MEMO_PARTS = 800_000
 #: Symbols of new pre-tokens that are merged at once.
 ROUND_SYMBOLS = 2_000_000
+#: Symbols from which on a sequence has rounds of its own.
+LONG = 1024
 _NONE = np.int32(2**31 - 1)
 
 
@@ -60,8 +64,63 @@ class MergeCounter:
         at = np.searchsorted(self.keys[:-1], key)
         return np.where(self.keys[at] == key, self.key_ranks[at], _NONE)
 
+    def merged_length(self, piece: bytes) -> int:
+        """The number of symbols that are left of one long piece.
+
+        Symbols are linked in arrays. Places wait under the rank of the pair that starts there; a round takes the lowest rank, merges
+        all its places that still hold, and looks up the pairs that this made.
+        """
+        n = len(piece)
+        symbols = np.append(self.symbol[np.frombuffer(piece, np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.full(n + 1, _NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            right = after[at]
+            found = np.where(right < n, self.ranks(symbols[at], symbols[np.minimum(right, n)]), _NONE)
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            order = order[: np.searchsorted(found[order], _NONE)]
+            ranked = found[order]
+            for part in np.split(order, np.flatnonzero(np.diff(ranked)) + 1) if len(order) else []:
+                r = int(found[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(heap, r)
+                waiting[r].append(at[part])
+
+        look_up(np.arange(n))
+        while heap:
+            r = heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # Hits in a row are one symbol repeated: every second one merges, from the left.
+            fresh = np.append(True, at[1:] != after[at[:-1]])
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - head) % 2 == 0]
+            gone = after[at]
+            follow = after[gone]
+            symbols[at], rank[gone], after[at] = self.made[r], _NONE, follow
+            n_left = follow < n
+            before[follow[n_left]] = at[n_left]
+            left = before[at]
+            look_up(np.unique(np.concatenate([at, left[left >= 0]])))
+        count, i = 0, 0
+        while i < n:
+            count, i = count + 1, int(after[i])
+        return count
+
     def merged_lengths(self, pieces: list[bytes]) -> np.ndarray:
         """The number of symbols that are left of each piece."""
+        if any(len(p) >= LONG for p in pieces):
+            out = np.fromiter((self.merged_length(p) if len(p) >= LONG else 0 for p in pieces), np.int64, len(pieces))
+            short = [i for i, p in enumerate(pieces) if len(p) < LONG]
+            out[short] = self.merged_lengths([pieces[i] for i in short])
+            return out
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = np.zeros(len(pieces), np.int64)
         symbols = self.symbol[np.frombuffer(b"".join(pieces), np.uint8)]

@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon of insulting words and word stems is learned from labelled rows. A text's words become symbols (insult,
-threat, target, negation, reported speech, end of clause, other); the composition of small transducers reads them clause by
-clause and weighs each insult and threat by what stands around it: aimed at a target it counts more, negated or
-reported it counts less. A logistic model over the clauses' scores gives the document's.
+threat, target, negation, reported speech, end of clause, other). A transducer that reads a clause from its end marks the
+insults and threats with a target to come; the composition of small transducers then reads it from its start and
+weighs each insult and threat by what stands on either side: aimed at a target it counts more, negated or reported it
+counts less. A logistic model over the clauses' scores gives the document's.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import cut, slices, texts
 
 #: Bound of the fit: labelled rows of each label, those with the least hashes of their ids.
 FIT_ROWS = 3000
-#: Terms of the lexicon: share of toxic rows that have one at least, log odds at least, standard scores at least, number at most.
+#: Terms of the lexicon: share of toxic rows that have one at least, log odds at least, standard scores at least, number at most
+#: (those with the highest scores; so what passes the driver and is sent to tasks is bounded whatever the corpus' vocabulary).
 TERM_SHARE, TERM_ODDS, TERM_Z, TERMS = 0.015, math.log(4), 3.0, 4000
 #: Lengths of stems (the first letters of longer words).
 STEMS = (7, 6, 5, 4)
@@ -35,12 +37,48 @@ NEGATION_REACH = 3
 MEMO_WORDS = 500_000
 
 # Function words of the grammar, in English, French, German and Spanish.
-TARGETS = "you your yours yourself he she they him her them his their u tu toi vous ton ta tes votre vos il elle ils elles du dich dir dein deine ihr euch euer sie er tú ti usted ustedes él ella ellos ellas vosotros"
+TARGETS = "you your yours yourself he she they him her them his their u tu te toi vous ton ta tes votre vos il elle ils elles du dich dir dein deine ihr euch euer sie er tú ti usted ustedes él ella ellos ellas vosotros"
 NEGATIONS = "not no never none nobody isn aren wasn weren don doesn didn cannot can't won without ne pas jamais aucun ni sans nicht kein keine keinen nie niemals ohne nunca jamás ningún ninguna tampoco sin"
 REPORTS = "said says say saying told tells wrote writes quote quoted quotes reported called calls according dit disait écrit selon cite sagte sagt schrieb laut zitiert dijo dice escribió según citó"
-THREATS = "kill hurt destroy attack beat burn shoot stab murder tuer frapper détruire attaquer brûler töten schlagen zerstören angreifen verbrennen matar golpear destruir atacar quemar"
+# Verbs of threats, by the way in which they're inflected, and the endings; forms that follow no rule.
+VERBS = {
+    "": "kill hurt destroy attack beat burn shoot stab murder",
+    "er": "tuer frapper attaquer brûler",
+    "ire": "détruire",
+    "en": "töten schlagen zerstören angreifen verbrennen",
+    "ar": "matar golpear atacar quemar",
+    "ir": "destruir",
+}
+ENDINGS = {
+    "": " s ed ing",
+    "er": "er e es ons ez ent é ée és ées ant ais ait ions iez aient erai eras era erons erez eront erais erait",
+    "ire": "ire is it isons isez isent ite its ites isant isais isait irai iras ira irons irez iront",
+    "en": "en e st t est et te test ten tet end",
+    "ar": "ar o as a amos áis an é aste ó aron aba aban aré arás ará aremos aréis arán ando ado ada ados adas",
+    "ir": "ir yo yes ye imos ís yen í iste yó yeron iré irás irá iremos irán yendo ido ida",
+}
+IRREGULAR = "shot beaten schlägst schlägt schlug erschlagen griff angegriffen verbrannte verbrannt ataqué"
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INSULT_TO, THREAT_TO, END = range(9)
+#: Symbols that score; those ending in _TO have a target to come in their clause.
+SCORED = (INSULT, THREAT, INSULT_TO, THREAT_TO)
+
+
+def threat_forms() -> set[str]:
+    """All forms of the verbs of threats: stem and ending; English stems drop an e or double their last letter, German ones take ge-."""
+    forms = set(IRREGULAR.split())
+    for kind, verbs in VERBS.items():
+        for verb in verbs.split():
+            stem = verb[: len(verb) - len(kind)]
+            ends = ENDINGS[kind].split(" ")
+            forms |= {stem + e for e in ends}
+            if kind == "" and re.fullmatch(r"[^aeiou]+[aeiou][^aeiouwxy]", stem):
+                forms |= {stem + stem[-1] + e for e in ("ed", "ing")}
+            if kind == "en":
+                forms |= {"ge" + stem + e for e in ("t", "et", "en")}
+    return forms
+
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 _tokens = re.compile(r"[^\W\d_]+|[.!?;\n]").findall
 
 
@@ -70,19 +108,37 @@ def negation(reach: int = NEGATION_REACH, factor: float = 0.25) -> Transducer:
     moves = {}
     for k in range(reach + 1):
         for s in range(END):
-            moves[k, s] = (max(0, k - 1), factor if k and s in (INSULT, THREAT) else 1.0)
+            moves[k, s] = (max(0, k - 1), factor if k and s in SCORED else 1.0)
         moves[k, NEGATION] = (reach, 1.0)
     return Transducer(reach + 1, moves)
 
 
 def reported(factor: float = 0.5) -> Transducer:
     """From a word of reporting to the end of the clause."""
-    return Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor)})
+    return Transducer(2, {(0, REPORT): (1, 1.0)} | {(1, s): (1, factor) for s in SCORED})
 
 
 def aimed(insult: float = 1.5, threat: float = 1.0, aimless: float = 0.1) -> Transducer:
-    """A target earlier in the clause; a threat without one hardly counts."""
-    return Transducer(2, {(0, TARGET): (1, 1.0), (0, THREAT): (0, aimless), (1, INSULT): (1, insult), (1, THREAT): (1, threat)})
+    """A target on either side in the clause: state 1 has seen one, other marks tell of those to come. A threat without one hardly counts."""
+    to = {(k, s): (k, f) for k in (0, 1) for s, f in ((INSULT_TO, insult), (THREAT_TO, threat))}
+    return Transducer(2, to | {(0, TARGET): (1, 1.0), (0, THREAT): (0, aimless), (1, INSULT): (1, insult), (1, THREAT): (1, threat)})
+
+
+#: Read from a clause's end: (a target was seen, symbol) to (the same after it, the symbol to put).
+TO_COME = {(k, s): (k or s == TARGET, {INSULT: INSULT_TO, THREAT: THREAT_TO}.get(s, s) if k else s) for k in (False, True) for s in range(END)}
+
+
+def marked(found: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """The symbols with those marked that have a target to come in their clause."""
+    out, seen = [], False
+    for s, w in reversed(found):
+        if s == END:
+            seen = False
+        else:
+            seen, s = TO_COME[seen, s]
+        out.append((s, w))
+    out.reverse()
+    return out
 
 
 class Grammar:
@@ -93,7 +149,8 @@ class Grammar:
     def __init__(self, lexicon: dict[str, float]):
         self.insults = {k: v for k, v in lexicon.items() if k[-1] != "*"}
         self.stems = [(n, {k[:-1]: v for k, v in lexicon.items() if k[-1] == "*" and len(k) == n + 1}) for n in STEMS]
-        self.fixed = {w: (s, self.THREAT_WEIGHT) for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in ws.split()}
+        self.fixed = {w: (s, self.THREAT_WEIGHT) for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws.split()}
+        self.fixed |= {w: (THREAT, self.THREAT_WEIGHT) for w in threat_forms() - self.fixed.keys()}
         machine = negation().compose(reported()).compose(aimed())
         self.table = [[machine.step(a, s) for s in range(END + 1)] for a in range(machine.n)]
         self.memo: dict[str, tuple[int, float]] = {}
@@ -123,9 +180,9 @@ class Grammar:
             return [0.0] * 7
         table, state, scores, score = self.table, 0, [], 0.0
         plain = weighed = 0
-        for s, w in found:
+        for s, w in marked(found) if TARGET in kinds else found:
             state, factor = table[state][s]
-            if s == INSULT or s == THREAT:
+            if s in SCORED:
                 score += w * factor
                 plain += factor >= 1
                 weighed += factor < 1

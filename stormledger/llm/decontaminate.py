@@ -1,12 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as overlapping passages of words, as TF-IDF vectors over the benchmark's vocabulary (no other word can
-add to a product with an item). A distributed randomised SVD of the passages gives the corpus' main directions; together
-with the items' own they span the latent space. Passages whose cosine with an item there reaches a threshold are
-candidates; longest common subsequences and the item's answer decide.
-
-Because the latent space contains the items, a passage's latent cosine with an item is never below the cosine of the full
-vectors: the search loses no passage that the full vectors would have found.
+add to a product with an item). A distributed randomised SVD of the passages gives the corpus' main directions with their
+singular values. Passages and items are folded into that space alone, each direction divided by its singular value, so that
+common themes count no more than rare ones. Passages whose cosine with an item there reaches a threshold are candidates;
+longest common subsequences and the item's answer decide.
 """
 
 from __future__ import annotations
@@ -26,12 +24,14 @@ from .common import cut, slices, texts
 
 #: Words of a passage; each starts half a passage after the one before.
 PASSAGE, STEP = 64, 32
-#: Directions of the randomised SVD, least cosine of a candidate, items that share a vocabulary and a search.
-RANK, COSINE, BLOCK_ITEMS = 32, 0.5, 512
+#: Directions of the SVD, those drawn beyond them, least latent cosine of a candidate, items that share a vocabulary and a search.
+RANK, OVERSAMPLE, COSINE, BLOCK_ITEMS = 128, 16, 0.4, 50_000
+#: A passage with less than this share of the lightest item's squared TF-IDF weight holds too little of any item to be searched.
+MASS = 0.25
 #: An item is found where this share of its words is a common subsequence; or this much less, with this share of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
-#: Terms whose sums are gathered at once in the distributed product; passages whose latent vectors a task makes at once.
-CHUNK_TERMS, PASSAGES_AT_ONCE = 128, 1024
+#: Terms whose sums are gathered at once in the distributed product; passages and items that a task compares at once.
+CHUNK_TERMS, PASSAGES_AT_ONCE, ITEMS_AT_ONCE = 128, 1024, 4096
 _words = re.compile(r"[^\W_]+").findall
 _sentence_end = re.compile(r"[.!?]\s+")
 
@@ -143,17 +143,17 @@ def passage_counts(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     return counts, passages
 
 
-def corpus_directions(hits: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """Main right singular directions of the passages' TF-IDF matrix A: an orthonormal basis of A'(A Omega).
+def gram_product(hits: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'(A x) for the passages' TF-IDF matrix A and a matrix x with a row for each term.
 
-    Each task multiplies its passages with the random matrix Omega and back; the products, one row of numbers for each
-    term, are added up by chunks of terms. The result's size is the benchmark's vocabulary, whatever the corpus.
+    Each task multiplies its passages with x and back; the products, one row of numbers for each term, are added up by
+    chunks of terms. What is sent and gathered is as large as the benchmark's vocabulary, whatever the corpus.
     """
-    n_terms = len(idf)
-    omega = np.random.default_rng(seed).standard_normal((n_terms, rank)).astype(np.float32) * idf[:, None].astype(np.float32)
+    n_terms, width = x.shape
+    sent = hits.sparkSession.sparkContext.broadcast((x * idf[:, None]).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_terms, rank))
+        weighed, total = sent.value, np.zeros((n_terms, width))
         for batch in slices(batches):
             blocks, _, _ = Blocks.of(batch)
             if not blocks.n:
@@ -163,29 +163,47 @@ def corpus_directions(hits: DataFrame, idf: np.ndarray, rank: int = RANK, seed:
             keys = np.unique(row * n_terms + blocks.terms)
             row, term = keys // n_terms, keys % n_terms
             starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            y = np.add.reduceat(omega[term], starts, axis=0)
-            y = np.repeat(y, np.diff(np.append(starts, len(row))), axis=0)
-            for j in range(rank):
-                total[:, j] += np.bincount(term, weights=y[:, j], minlength=n_terms)
+            y = np.add.reduceat(weighed[term], starts, axis=0)
+            at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row))))
+            order = np.argsort(term, kind="stable")
+            term = term[order]
+            firsts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+            total[term[firsts]] += np.add.reduceat(y[at[order]], firsts, axis=0)
         total *= idf[:, None]
         parts = range(0, n_terms, CHUNK_TERMS)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(parts, pa.int64()), "sums": pa.array([total[a : a + CHUNK_TERMS].tobytes() for a in parts], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(parts, pa.int64()), "sums": pa.array([total[a : a + CHUNK_TERMS].astype(np.float32).tobytes() for a in parts], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for x in batch.column(1).to_pylist():
-                own = np.frombuffer(x, np.float64)
-                total = own.copy() if total is None else total + own
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+            for sums in batch.column(1).to_pylist():
+                own = np.frombuffer(sums, np.float32).astype(np.float64)
+                total = own if total is None else total + own
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     kinds = "chunk long, sums binary"
     partial = hits.mapInArrow(run, kinds).withColumn("salt", F.spark_partition_id() % 64)
     summed = partial.groupBy("chunk", "salt").applyInArrow(add, kinds).groupBy("chunk").applyInArrow(add, kinds)
-    b = np.concatenate([np.frombuffer(r.sums, np.float64) for r in sorted(summed.collect(), key=lambda r: r.chunk)] or [np.zeros(n_terms * rank)]).reshape(n_terms, rank)
-    norms = np.linalg.norm(b, axis=0)
-    q, _ = np.linalg.qr(b / np.where(norms > 0, norms, 1))
-    return q
+    rows = sorted(summed.collect(), key=lambda r: r.chunk)
+    return np.concatenate([np.frombuffer(r.sums, np.float32) for r in rows] or [np.zeros(n_terms * width, np.float32)]).reshape(n_terms, width).astype(np.float64)
+
+
+def randomised_svd(hits: DataFrame, idf: np.ndarray, rank: int = RANK, oversample: int = OVERSAMPLE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of the passages' TF-IDF matrix A (columns) and their singular values, truncated to ``rank``.
+
+    The range finder draws Omega and takes Q from A'A Omega; a power iteration gives Y = A'A Q. As A'A is about Y (Q'Y)^-1 Y', the SVD of
+    the small Y (Q'Y)^-1/2 has A's singular values and right vectors. Directions without a singular value are left out.
+    """
+    n_terms = len(idf)
+    width = min(n_terms, rank + oversample)
+    q, _ = np.linalg.qr(gram_product(hits, idf, np.random.default_rng(seed).standard_normal((n_terms, width))))
+    y = gram_product(hits, idf, q)
+    core = q.T @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    kept = values > 1e-7 * max(values.max(initial=0.0), 1e-300)
+    u, sigma, _ = np.linalg.svd(y @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)
+    kept = min(rank, int(np.count_nonzero(sigma > 1e-4 * sigma.max(initial=0.0))))
+    return u[:, :kept], sigma[:kept]
 
 
 def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -201,69 +219,80 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass(frozen=True)
+class LatentSpace:
+    """What a search needs of the terms: idf, their latent vectors (idf times right singular vector over singular value), the items' unit vectors."""
+
+    idf: np.ndarray
+    embedding: np.ndarray
+    queries: np.ndarray
+
+    @classmethod
+    def of(cls, items: Items, idf: np.ndarray, directions: np.ndarray, sigma: np.ndarray) -> LatentSpace:
+        embedding = (directions / sigma * idf[:, None]).astype(np.float32)
+        queries = np.array([embedding[np.unique(s)].sum(axis=0) for s in items.sequences], np.float32).reshape(-1, embedding.shape[1])
+        norms = np.linalg.norm(queries, axis=1)
+        return cls(idf, embedding, (queries / np.where(norms > 0, norms, 1)[:, None]).T.copy())
+
+
 class Searcher:
-    """Finds a block's items in documents, given the terms' weights and the latent space."""
-
-    def __init__(self, items: Items, idf: np.ndarray, directions: np.ndarray):
-        self.items, self.idf = items, idf
-        vectors = np.zeros((len(idf), len(items.ids)))
-        for i, s in enumerate(items.sequences):
-            vectors[s, i] = idf[s]
-        norms = np.linalg.norm(vectors, axis=0)
-        space, _ = np.linalg.qr(np.column_stack([vectors / np.where(norms > 0, norms, 1), directions]))
-        self.embedding = (space * idf[:, None]).astype(np.float32)
-        self.queries = (space.T @ (vectors / np.where(norms > 0, norms, 1))).astype(np.float32)
-        #: A cosine of COSINE needs so much of the squared norm at least.
-        self.least = COSINE**2 * float((norms**2).min())
-        self.squares = idf**2
-        self.member = vectors.T != 0
+    """Finds a block's items in documents, in a latent space."""
+
+    def __init__(self, items: Items, space: LatentSpace, cosine: float = COSINE):
+        self.items, self.space, self.cosine = items, space, cosine
+        self.squares = space.idf**2
+        self.least = MASS * min(float(self.squares[np.unique(s)].sum()) for s in items.sequences)
+        self.member = np.zeros(len(space.idf), bool)
 
     def find(self, batch: pa.RecordBatch) -> Iterator[tuple]:
         """(doc_id, item_id, cosine, lcs, lcs_ratio, answer_ratio, start_word) of items found in the batch's documents."""
         blocks, places, base = Blocks.of(batch)
-        if not blocks.n:
-            return
+        if blocks.n:
+            yield from self.verify(batch.column(0).to_pylist(), blocks, places, base, *self.candidates(blocks))
+
+    def candidates(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, latent cosine) of all pairs whose latent cosine reaches the threshold."""
         mass = np.bincount(blocks.block, weights=self.squares[blocks.terms], minlength=blocks.n)
         mass[:-1] += mass[1:]  # words counted with their repeats: an upper bound
-        of, term = passage_terms(blocks, len(self.idf), mass >= self.least)
-        if not len(of):
-            return
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        of, term = passage_terms(blocks, len(self.squares), mass >= self.least)
+        found: list[tuple[np.ndarray, ...]] = []
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
         for a in range(0, len(starts), PASSAGES_AT_ONCE):
             part = starts[a : a + PASSAGES_AT_ONCE]
             stop = starts[a + PASSAGES_AT_ONCE] if a + PASSAGES_AT_ONCE < len(starts) else len(of)
-            x = np.add.reduceat(self.embedding[term[part[0] : stop]], part - part[0], axis=0)
+            x = np.add.reduceat(self.space.embedding[term[part[0] : stop]], part - part[0], axis=0)
             norm = np.linalg.norm(x, axis=1)
-            cosine = (x @ self.queries) / np.where(norm > 0, norm, 1)[:, None]
-            self.candidates(of[part], cosine)
-        yield from self.verify(batch.column(0).to_pylist(), blocks, places, base)
-
-    def candidates(self, passages: np.ndarray, cosine: np.ndarray) -> None:
-        at, item = np.nonzero(cosine >= COSINE - 1e-5)
-        self.held = getattr(self, "held", [])
-        self.held.extend(zip(passages[at].tolist(), item.tolist(), cosine[at, item].tolist(), strict=True))
-
-    def verify(self, ids: list, blocks: Blocks, places: list[np.ndarray], base: np.ndarray) -> Iterator[tuple]:
-        held, self.held = getattr(self, "held", []), []
-        ends = np.append(base[1:], blocks.n)
+            x /= np.where(norm > 0, norm, 1)[:, None]
+            for b in range(0, self.space.queries.shape[1], ITEMS_AT_ONCE):
+                cosine = x @ self.space.queries[:, b : b + ITEMS_AT_ONCE]
+                at, item = np.nonzero(cosine >= self.cosine)
+                found.append((of[part][at], item + b, cosine[at, item]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+
+    def verify(self, ids: list, blocks: Blocks, places: list[np.ndarray], base: np.ndarray, passages: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> Iterator[tuple]:
         offsets = np.cumsum([0, *map(len, places)])
+        docs = np.searchsorted(np.append(base[1:], blocks.n), passages, side="right")
         best: dict[tuple[int, int], tuple] = {}
-        for passage, i, cosine in held:
-            d = int(np.searchsorted(ends, passage, side="right"))
-            at, terms = places[d], blocks.terms[offsets[d] : offsets[d + 1]]
+        member, held = self.member, -1
+        for k in np.argsort(item, kind="stable").tolist():
+            i, d = int(item[k]), int(docs[k])
             sequence = self.items.sequences[i]
+            if i != held:
+                if held >= 0:
+                    member[self.items.sequences[held]] = False
+                member[sequence], held = True, i
             n = len(sequence)
-            word = (passage - int(base[d])) * STEP
-            lo, hi = np.searchsorted(at, (word - n, word + PASSAGE + n))
-            at, terms = at[lo:hi], terms[lo:hi]
-            inside = self.member[i][terms]
+            word = (int(passages[k]) - int(base[d])) * STEP
+            lo, hi = np.searchsorted(places[d], (word - n, word + PASSAGE + n))
+            terms = blocks.terms[offsets[d] + lo : offsets[d] + hi]
+            inside = member[terms]
             # No common subsequence is longer than the item's words that are there.
             if np.count_nonzero(inside) / n < LCS_WITH_ANSWER:
                 continue
-            at, terms = at[inside], terms[inside]
+            at, terms = places[d][lo:hi][inside], terms[inside]
             # The stretch of about the item's length that has most of its weight.
             reach = np.searchsorted(at, at + math.ceil(1.25 * n))
-            weight = np.append(0, np.cumsum(self.idf[terms]))
+            weight = np.append(0, np.cumsum(self.space.idf[terms]))
             a = int(np.argmax(weight[reach] - weight[:-1]))
             stretch = terms[a : reach[a]]
             if len(stretch) / n < LCS_WITH_ANSWER:
@@ -275,25 +304,27 @@ class Searcher:
             tail = sequence[n - self.items.answers[i] :]
             answer = lcs_length(tail, stretch) / len(tail)
             if ratio >= LCS or answer >= ANSWER:
-                row = (common, cosine, -int(at[a]), ratio, answer)
+                row = (common, float(cosine[k]), -int(at[a]), ratio, answer)
                 best[d, i] = max(best.get((d, i), row), row)
-        for (d, i), (common, cosine, start, ratio, answer) in best.items():
-            yield ids[d], self.items.ids[i], float(cosine), common, ratio, answer, -start
+        if held >= 0:
+            member[self.items.sequences[held]] = False
+        for (d, i), (common, near, start, ratio, answer) in best.items():
+            yield ids[d], self.items.ids[i], near, common, ratio, answer, -start
 
 
 SCHEMA = "doc_id long, item_id long, cosine double, lcs int, lcs_ratio double, answer_ratio double, start_word int"
 
 
-def find_items(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> DataFrame:
     """The items of one block that each text holds, one row for each text and item."""
     n_terms = len(items.vocabulary)
     hits = cut(benchmark_words(docs, items.vocabulary, id_col, text_col))
     counts, passages = passage_counts(hits, n_terms)
     idf = np.log((2 + passages) / (1 + counts))
-    directions = corpus_directions(hits, idf, min(RANK, n_terms))
+    sent = docs.sparkSession.sparkContext.broadcast((items, LatentSpace.of(items, idf, *randomised_svd(hits, idf, rank))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(items, idf, directions)
+        searcher = Searcher(*sent.value)
         for batch in slices(batches):
             rows = list(zip(*searcher.find(batch), strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int32()]
@@ -306,9 +337,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Documents that hold benchmark items: one row for each document and item, with the best passage's figures.
 
     ``doc_id``, ``item_id``, ``cosine`` (latent), ``lcs`` (words in common, in order), ``lcs_ratio`` (of the item), ``answer_ratio`` (of the item's
-    last sentence) and ``start_word`` (place of the passage found, in words). Every document is searched for every item; the
-    benchmark is read in blocks of items, each with its own vocabulary. Null and empty texts hold nothing, items without words are
-    never found, and an empty table gives no rows. Rows that share an id are searched each; a null id stays null.
+    last sentence) and ``start_word`` (place of the passage found, in words). Every document is searched for every item. The corpus
+    is read once for ``BLOCK_ITEMS`` items, which share a vocabulary and a latent space; that also bounds what is sent to tasks.
+    Null and empty texts hold nothing, items without words are never found, and an empty table gives no rows. Ids are
+    cast to long (what isn't a number becomes null). Rows that share an id are searched each and reported as one, by the
+    best passage; a null id stays null.
     """
     out = None
     for items in read_items(benchmark):

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,12 @@ def numbered(docs: DataFrame, **extra: Column) -> DataFrame:
     return docs.sparkSession.read.parquet(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting (numpy's own way is by hashing, and slower)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of few rows: bounds the Python objects that a task holds."""
     for batch in batches:

@@ -14,25 +14,29 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, distinct, slices, texts
 
 #: Words of a passage; each starts half a passage after the one before.
 PASSAGE, STEP = 64, 32
 #: Directions of the SVD, those drawn beyond them, least latent cosine of a candidate, items that share a vocabulary and a search.
-RANK, OVERSAMPLE, COSINE, BLOCK_ITEMS = 128, 16, 0.4, 50_000
-#: A passage with less than this share of the lightest item's squared TF-IDF weight holds too little of any item to be searched.
+RANK, OVERSAMPLE, COSINE, BLOCK_ITEMS = 128, 16, 0.38, 50_000
+#: Terms that more than this share of the items have, and more than so many, tell no items apart: the search leaves them out.
+COMMON_SHARE, COMMON_ITEMS = 0.05, 10
+#: A passage that shares less than this part of an item's squared TF-IDF weight holds too little of it.
 MASS = 0.25
 #: An item is found where this share of its words is a common subsequence; or this much less, with this share of its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Terms whose sums are gathered at once in the distributed product; passages and items that a task compares at once.
 CHUNK_TERMS, PASSAGES_AT_ONCE, ITEMS_AT_ONCE = 128, 1024, 4096
 _words = re.compile(r"[^\W_]+").findall
+_plain_words = re.compile(r"\w+").findall
 _sentence_end = re.compile(r"[.!?]\s+")
 
 
@@ -45,6 +49,14 @@ class Items:
     sequences: list[np.ndarray]
     answers: list[int]
 
+    def telling(self) -> np.ndarray:
+        """Which terms the search uses: all but common ones; an item of which those are more than half keeps them."""
+        own = [np.unique(s) for s in self.sequences]
+        kept = np.bincount(np.concatenate(own), minlength=len(self.vocabulary)) <= max(COMMON_ITEMS, COMMON_SHARE * len(own))
+        for terms in [t for t in own if 2 * np.count_nonzero(kept[t]) < len(t)]:
+            kept[terms] = True
+        return kept
+
 
 def read_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK_ITEMS) -> Iterator[Items]:
     """The benchmark in blocks, through the driver row by row. Items without words or without an id are left out."""
@@ -74,7 +86,9 @@ def benchmark_words(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "
         for batch in slices(batches):
             ids, places, found = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                terms = np.array([get(w, -1) for w in _words(text.lower())], np.int32)
+                text = text.lower()
+                words = _words(text) if "_" in text else _plain_words(text)  # the second is the faster pattern
+                terms = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(terms >= 0)
                 if len(at):
                     ids.append(key)
@@ -89,12 +103,11 @@ def benchmark_words(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "
 class Blocks:
     """The benchmark words of some documents, by blocks of STEP words; passage b is blocks b and b + 1.
 
-    ``later`` is whether a word's block has another of its document before it, so that it is in two passages.
+    A term counts once for each block that has it, so a passage's vector is the sum of its two blocks'.
     """
 
     terms: np.ndarray
     block: np.ndarray
-    later: np.ndarray
     n: int
 
     @classmethod
@@ -105,42 +118,42 @@ class Blocks:
         base = np.cumsum(sizes) - sizes
         own = np.concatenate(places) // STEP if places else np.empty(0, np.int64)
         block = own.astype(np.int64) + np.repeat(base, [len(p) for p in places])
-        return cls(terms, block, own > 0, int(sizes.sum())), places, base
+        return cls(terms, block, int(sizes.sum())), places, base
 
+    def only(self, kept: np.ndarray) -> Blocks:
+        """With the words of ``kept`` terms alone."""
+        on = kept[self.terms]
+        return Blocks(self.terms[on], self.block[on], self.n)
 
-def passage_terms(blocks: Blocks, n_terms: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (passage, term) of all or the wanted passages, in order. Passage b of a document is its words from b * STEP on."""
-    block, terms = blocks.block, blocks.terms
-    first = block * n_terms + terms
-    if wanted is None:
-        keys = np.unique(np.concatenate([first, first[blocks.later] - n_terms]))
-    else:
-        keys = np.unique(np.concatenate([first[wanted[block]], first[blocks.later & wanted[block - 1]] - n_terms]))
-    return keys // n_terms, keys % n_terms
+    def distinct(self, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (block, term), in order."""
+        keys = distinct(self.block * n_terms + self.terms)
+        block = keys // n_terms
+        return block, keys - block * n_terms
 
 
-def passage_counts(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
-    """For each term the number of passages that have it, and the number of passages with any; over all documents."""
+def block_counts(hits: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """For each term the number of blocks that have it, and the number of blocks with any; over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, passages = np.zeros(n_terms, np.int64), 0
+        counts, any_ = np.zeros(n_terms, np.int64), 0
         for batch in slices(batches):
             blocks, _, _ = Blocks.of(batch)
             if blocks.n:
-                of, term = passage_terms(blocks, n_terms)
+                of, term = blocks.distinct(n_terms)
                 counts += np.bincount(term, minlength=n_terms)
-                passages += len(np.unique(of))
+                any_ += 1 + int(np.count_nonzero(np.diff(of)))
         there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"term": np.append(there, -1), "n": np.append(counts[there], passages)})
+        yield pa.RecordBatch.from_pydict({"term": np.append(there, -1), "n": np.append(counts[there], any_)})
 
     rows = hits.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts, passages = np.zeros(n_terms, np.int64), 0
+    counts, any_ = np.zeros(n_terms, np.int64), 0
     for r in rows:
         if r.term < 0:
-            passages = r.n
+            any_ = r.n
         else:
             counts[r.term] = r.n
-    return counts, passages
+    return counts, any_
 
 
 def gram_product(hits: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -155,13 +168,12 @@ def gram_product(hits: DataFrame, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weighed, total = sent.value, np.zeros((n_terms, width))
         for batch in slices(batches):
-            blocks, _, _ = Blocks.of(batch)
-            if not blocks.n:
+            blocks = Blocks.of(batch)[0].only(idf > 0)
+            if not len(blocks.terms):
                 continue
             # One row for each second passage: together they are the whole text, each word once.
-            row = blocks.block // 2
-            keys = np.unique(row * n_terms + blocks.terms)
-            row, term = keys // n_terms, keys % n_terms
+            row, term = blocks.distinct(n_terms)
+            row //= 2
             starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             y = np.add.reduceat(weighed[term], starts, axis=0)
             at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(row))))
@@ -221,18 +233,20 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass(frozen=True)
 class LatentSpace:
-    """What a search needs of the terms: idf, their latent vectors (idf times right singular vector over singular value), the items' unit vectors."""
+    """What a search needs of the terms: idf (and that with 0 for those it leaves out), latent vectors (idf times right singular vector
+    over singular value), the items' unit vectors."""
 
     idf: np.ndarray
+    searched: np.ndarray
     embedding: np.ndarray
     queries: np.ndarray
 
     @classmethod
-    def of(cls, items: Items, idf: np.ndarray, directions: np.ndarray, sigma: np.ndarray) -> LatentSpace:
-        embedding = (directions / sigma * idf[:, None]).astype(np.float32)
+    def of(cls, items: Items, idf: np.ndarray, searched: np.ndarray, directions: np.ndarray, sigma: np.ndarray) -> LatentSpace:
+        embedding = (directions / sigma * searched[:, None]).astype(np.float32)
         queries = np.array([embedding[np.unique(s)].sum(axis=0) for s in items.sequences], np.float32).reshape(-1, embedding.shape[1])
         norms = np.linalg.norm(queries, axis=1)
-        return cls(idf, embedding, (queries / np.where(norms > 0, norms, 1)[:, None]).T.copy())
+        return cls(idf, searched, embedding, (queries / np.where(norms > 0, norms, 1)[:, None]).T.copy())
 
 
 class Searcher:
@@ -240,8 +254,10 @@ class Searcher:
 
     def __init__(self, items: Items, space: LatentSpace, cosine: float = COSINE):
         self.items, self.space, self.cosine = items, space, cosine
-        self.squares = space.idf**2
-        self.least = MASS * min(float(self.squares[np.unique(s)].sum()) for s in items.sequences)
+        self.squares = space.searched**2
+        own = [np.unique(s).astype(np.int64) for s in items.sequences]
+        self.mass = np.array([float(self.squares[t].sum()) for t in own])
+        self.keys = np.concatenate([i * len(self.squares) + t for i, t in enumerate(own)])
         self.member = np.zeros(len(space.idf), bool)
 
     def find(self, batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -251,24 +267,47 @@ class Searcher:
             yield from self.verify(batch.column(0).to_pylist(), blocks, places, base, *self.candidates(blocks))
 
     def candidates(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, latent cosine) of all pairs whose latent cosine reaches the threshold."""
-        mass = np.bincount(blocks.block, weights=self.squares[blocks.terms], minlength=blocks.n)
-        mass[:-1] += mass[1:]  # words counted with their repeats: an upper bound
-        of, term = passage_terms(blocks, len(self.squares), mass >= self.least)
+        """(passage, item, latent cosine) of all pairs whose latent cosine reaches the threshold and that share enough weight."""
+        of, term = blocks.only(self.space.searched > 0).distinct(len(self.squares))
         found: list[tuple[np.ndarray, ...]] = []
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
-        for a in range(0, len(starts), PASSAGES_AT_ONCE):
-            part = starts[a : a + PASSAGES_AT_ONCE]
-            stop = starts[a + PASSAGES_AT_ONCE] if a + PASSAGES_AT_ONCE < len(starts) else len(of)
-            x = np.add.reduceat(self.space.embedding[term[part[0] : stop]], part - part[0], axis=0)
-            norm = np.linalg.norm(x, axis=1)
-            x /= np.where(norm > 0, norm, 1)[:, None]
-            for b in range(0, self.space.queries.shape[1], ITEMS_AT_ONCE):
-                cosine = x @ self.space.queries[:, b : b + ITEMS_AT_ONCE]
-                at, item = np.nonzero(cosine >= self.cosine)
-                found.append((of[part][at], item + b, cosine[at, item]))
+        if len(of):
+            starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            ends = np.append(starts[1:], len(of))
+            # Passages begin at blocks that have words and at those before them, unless that is the end of another document.
+            own = of[starts]
+            first = distinct(np.concatenate([own, np.maximum(own - 1, 0)]))
+            a, b = (np.minimum(np.searchsorted(own, first + i), len(own) - 1) for i in (0, 1))
+            has_a, has_b = own[a] == first, own[b] == first + 1
+            for lo in range(0, len(first), PASSAGES_AT_ONCE):
+                p = slice(lo, lo + PASSAGES_AT_ONCE)
+                k0, k1 = int(min(a[p][0], b[p][0])), int(max(a[p][-1], b[p][-1])) + 1
+                sums = np.add.reduceat(self.space.embedding[term[starts[k0] : ends[k1 - 1]]], starts[k0:k1] - starts[k0], axis=0)
+                x = sums[a[p] - k0] * has_a[p][:, None] + sums[b[p] - k0] * has_b[p][:, None]
+                norm = np.linalg.norm(x, axis=1)
+                x /= np.where(norm > 0, norm, 1)[:, None]
+                for c in range(0, self.space.queries.shape[1], ITEMS_AT_ONCE):
+                    cosine = x @ self.space.queries[:, c : c + ITEMS_AT_ONCE]
+                    at, item = np.nonzero(cosine >= self.cosine)
+                    near = cosine[at, item]
+                    at, item = at + lo, item + c
+                    weight = np.zeros(len(at))
+                    for part, has in ((a, has_a), (b, has_b)):
+                        weight += np.where(has[at], self.shared(term, starts[part[at]], ends[part[at]], item), 0.0)
+                    on = weight >= MASS * self.mass[item]
+                    found.append((first[at[on]], item[on], near[on]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
+    def shared(self, term: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For stretches of ``term`` the squared weight of the terms that each has in common with an item."""
+        size = end - start
+        if not len(size):
+            return np.zeros(0)
+        ends = np.cumsum(size)
+        t = term[np.repeat(start, size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]
+        key = np.repeat(item, size) * len(self.squares) + t
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.add.reduceat(np.where(self.keys[at] == key, self.squares[t], 0.0), ends - size)
+
     def verify(self, ids: list, blocks: Blocks, places: list[np.ndarray], base: np.ndarray, passages: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> Iterator[tuple]:
         offsets = np.cumsum([0, *map(len, places)])
         docs = np.searchsorted(np.append(base[1:], blocks.n), passages, side="right")
@@ -319,9 +358,10 @@ def find_items(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col:
     """The items of one block that each text holds, one row for each text and item."""
     n_terms = len(items.vocabulary)
     hits = cut(benchmark_words(docs, items.vocabulary, id_col, text_col))
-    counts, passages = passage_counts(hits, n_terms)
-    idf = np.log((2 + passages) / (1 + counts))
-    sent = docs.sparkSession.sparkContext.broadcast((items, LatentSpace.of(items, idf, *randomised_svd(hits, idf, rank))))
+    counts, blocks = block_counts(hits, n_terms)
+    idf = np.log((2 + blocks) / (1 + counts))
+    searched = np.where(items.telling(), idf, 0.0)
+    sent = docs.sparkSession.sparkContext.broadcast((items, LatentSpace.of(items, idf, searched, *randomised_svd(hits, searched, rank))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*sent.value)

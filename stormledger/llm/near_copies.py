@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, slices, texts
+from .common import cut, distinct, numbered, slices, texts
 from .components import connected_components
 from .perfect_hash import mixed
 
@@ -54,7 +54,7 @@ class Shingles:
         out = h[: len(h) - size + 1].copy()
         for i in range(1, size):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i]
-        return np.unique(mixed(out, 1)), b" ".join(words)
+        return distinct(mixed(out, 1)), b" ".join(words)
 
 
 def majorities(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -104,7 +104,7 @@ def shingle_sets(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up = Shingles(words)
         for batch in slices(batches):
-            packed = [np.unique((cut_up(t)[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts(batch.column(1))]
+            packed = [distinct((cut_up(t)[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_pydict({"row": batch.column(0), "shingles": pa.array(packed, pa.binary())})
 
     return rows.mapInArrow(run, "row long, shingles binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -49,10 +49,26 @@ def top_scenarios(events: DataFrame, keys: tuple[str, ...], fractions: dict[str,
     return out
 
 
+def retention(runs: DataFrame, now: str, most: int) -> DataFrame:
+    """``state`` of each run (``run_id``, ``created``, ``terminal``): ``expired`` if created by ``now``; of the others the oldest terminal ones are
+    ``pruned`` as long as more than ``most`` remain; the rest is ``kept``.
+
+    How many go is known from counts; only as many of the oldest are ranked.
+    """
+    expired = F.col("created") <= F.to_timestamp(F.lit(now))
+    alive = runs.where(~expired)
+    extra = alive.agg(F.greatest(F.lit(0), F.count("*") - most).alias("extra"))
+    blocks = alive.where("terminal").groupBy(F.to_date("created").alias("day")).agg(F.count("*").alias("n"))
+    before = blocks.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a day
+    ranked = alive.where("terminal").withColumn("day", F.to_date("created")).join(before, "day")
+    ranked = ranked.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("created", "run_id")))
+    pruned = ranked.crossJoin(F.broadcast(extra)).where("rank <= extra").select("run_id", F.lit(True).alias("pruned"))
+    state = F.when(expired, "expired").when(F.col("pruned"), "pruned").otherwise("kept")
+    return runs.join(pruned, "run_id", "left").withColumn("state", state).drop("pruned")
+
+
 def coherent(artefacts: DataFrame) -> DataFrame:
     """By territory: whether all artefacts have one run id and their times don't run backwards in the order of ``step``."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("territory").orderBy("step")
     late = artefacts.withColumn("back", F.col("at") < F.lag("at").over(order))
     return late.groupBy("territory").agg((F.countDistinct("run_id") == 1).alias("one_run"), (~F.coalesce(F.max("back"), F.lit(False))).alias("ordered"))

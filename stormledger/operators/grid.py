@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .impact import steady_mean
+from .metrics import quantiles
 
 
 def with_cells(rows: DataFrame, degrees: float) -> DataFrame:
@@ -41,9 +42,9 @@ def array_quantile(ordered: Column, q: float) -> Column:
 
 def maxima_summary(rows: DataFrame, unit: str, value: str = "wind") -> DataFrame:
     """Count, mean, high quantiles and maximum of the largest values by ``unit`` (a year or a track)."""
-    return rows.groupBy(unit).agg(F.max(value).alias("m")).agg(
-        F.count("*").alias("n"), steady_mean(F.col("m")).alias("mean_max"), F.percentile("m", 0.99).alias("q99"), F.percentile("m", 0.999).alias("q999"), F.max("m").alias("top")
-    )
+    most = rows.groupBy(unit).agg(F.max(value).alias("m"))
+    sums = most.agg(F.count("*").alias("n"), steady_mean(F.col("m")).alias("mean_max"), F.max("m").alias("top"))
+    return sums.crossJoin(quantiles(most, "m", {"q99": 0.99, "q999": 0.999})).select("n", "mean_max", "q99", "q999", "top")  # two single rows
 
 
 def merge_components(cells: DataFrame, *components: DataFrame, on: Sequence[str] = ("i", "j")) -> DataFrame:

@@ -82,7 +82,8 @@ def return_level_by_point(spark, d):
 
 @query
 def loss_at_rp_clamped(spark, d):
-    rows = _events(spark, d).withColumn("territory", F.col("event_id") % 7).withColumn("frequency", F.lit(0.00001))
+    rows = _events(spark, d).withColumn("territory", F.col("event_id") % 7)
+    rows = rows.withColumn("frequency", F.when(F.col("territory") < 3, 0.0).otherwise(0.00001))  # three without frequencies
     return metrics.clamped_loss(rows, ("territory",))
 
 
@@ -157,7 +158,7 @@ def damage_states(spark, d):
 @query
 def elec_health_grouping_sets(spark, d):
     out = dep.electric_health(dep.with_direct(A.network(spark, d)))
-    return out.select("hazard", "territory", "overall", "total", "s1", "s2", "s3", "n", F.round("health", 9).alias("health"))
+    return out.select("hazard", "territory", "overall", "total", "s1", "s2", "s3", "n", *[F.round(c, 9).alias(c) for c in ("health", "lat", "lon")])
 
 
 @query
@@ -457,8 +458,7 @@ def regular_grid(spark, d):
 
 @query
 def centroid_grid(spark, d):
-    few = A.suppliers(spark, d).where("point_id < 5")
-    return grid.densify(few)
+    return grid.densify(A.suppliers(spark, d))
 
 
 @query
@@ -567,7 +567,7 @@ def polygon_sampling(spark, d):
 
 @query
 def wind_field(spark, d):
-    rows = A.track_points(spark, d).where("track_id % 10 = 0").withColumn("p_c", F.col("p_c") - 40.0).withColumn("rmax_km", 20.0 + F.col("category") * 5.0)
+    rows = A.track_points(spark, d).withColumn("p_c", F.col("p_c") - 40.0).withColumn("rmax_km", 20.0 + F.col("category") * 5.0)
     centroids = A.suppliers(spark, d).select(F.col("point_id").alias("centroid_id"), "lat", "lon")
     return hazard.wind_field(rows, centroids, 0.5).select("track_id", "centroid_id", F.round("intensity", 6).alias("intensity"))
 
@@ -612,7 +612,7 @@ def derived_scenarios(spark, d):
 
 @query
 def artefact_coherence(spark, d):
-    rows = A.table(spark, d, "orders").where("o_custkey % 7 = 0").select(F.col("o_custkey").alias("territory"), (F.col("o_orderkey") % 2).alias("run_id"), F.col("o_orderkey").alias("step"), F.col("o_orderdate").alias("at"))
+    rows = A.table(spark, d, "orders").select(F.col("o_custkey").alias("territory"), (F.col("o_orderkey") % 2).alias("run_id"), F.col("o_orderkey").alias("step"), F.col("o_orderdate").alias("at"))
     return case.coherent(rows)
 
 
@@ -669,7 +669,7 @@ def hazard_blocks_union(spark, d):
 def leftover_points(spark, d):
     p = _customer_points(spark, d).select("id")
     chosen = p.where("id % 3 = 0")
-    return p.join(chosen, "id", "left_anti").where("id % 5 = 0").unionByName(chosen.where("id % 7 = 0")).distinct()
+    return p.join(chosen, "id", "left_anti").unionByName(chosen.where("id > 3")).distinct()
 
 
 @query
@@ -692,9 +692,9 @@ def result_document(spark, d):
 
 @query
 def expired_runs(spark, d):
-    """The state of runs at a given time: those whose day has passed are expired, the last ten of the others stay."""
-    rows = A.table(spark, d, "orders").withColumn("state", F.when(F.col("o_orderdate") <= F.to_timestamp(F.lit("1998-01-01 00:00:00")), "expired").otherwise("kept"))
-    return rows.groupBy("state").agg(F.count("*").alias("n"))
+    """Each run's state at a given time."""
+    rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created"), (F.col("o_orderstatus") != "P").alias("terminal"))
+    return case.retention(rows, "1998-01-01 00:00:00", 10).select("run_id", "state")
 
 
 @query

@@ -152,7 +152,7 @@ ORACLES: dict[str, str] = {
     "pml_curve": f"with {EVENTS}, {_pml('select * from ev', '', RP)}",
     "pml_by_territory": f"with {LOSSES}, {SUPPLIERS}, e as (select territory, event_id, {_money('loss')} as loss, 0.0001::double as frequency from l join s using (point_id) group by 1, 2), {_pml('select * from e', 'territory', RP)}",
     "return_level_by_point": f"with {LOSSES}, e as (select point_id, event_id, max(wind) as value, 0.001::double as weight from l group by 1, 2), {_pml('select * from e', 'point_id', '(50), (100)', 'value', 'weight', where='true')}",
-    "loss_at_rp_clamped": f"with {EVENTS}, e as (select event_id % 7 as territory, event_id, greatest(0::double, loss) as loss, 0.00001::double as frequency from ev), {_pml('select * from e', 'territory', RP, beyond='min(loss)', where='true')}",
+    "loss_at_rp_clamped": f"with {EVENTS}, e as (select event_id % 7 as territory, event_id, greatest(0::double, loss) as loss, case when event_id % 7 < 3 then 1::double / count(*) over (partition by event_id % 7) else 0.00001::double end as frequency from ev), {_pml('select * from e', 'territory', RP, beyond='min(loss)', where='true')}",
     "tvar95": f"""with {EVENTS}, c as (select *, cast(frequency as decimal(38,18)) as f, sum(cast(frequency as decimal(38,18))) over (order by loss, event_id rows unbounded preceding) as cum from ev),
         t as (select sum(f) as total from c), v as (select coalesce(min(case when cum >= total * 0.95::decimal(3,2) then loss end), max(loss)) as var from c cross join t)
         select max(var) as var, sum(cast(loss as decimal(24,6)) * cast(f as decimal(12,8)))::double / sum(f)::double as tvar from c cross join v where loss >= var""",
@@ -167,7 +167,7 @@ ORACLES: dict[str, str] = {
         select g, round(w / (w + r + s), 6) as wind, round(r / (w + r + s), 6) as rain, round(s / (w + r + s), 6) as surge from x""",
     "run_metrics": f"with {EVENTS} select count(*) as n_events, sum(cast(frequency as decimal(38,18)))::double as total_frequency, max(loss) as max_loss, count(*) filter (where loss > 0) as n_positive from ev",
     "damage_states": f"with {LOSSES} select {_state(_mdd('wind'))} as state, count(*) as n, {_money('value')} as value from l group by 1",
-    "elec_health_grouping_sets": f"with {NETWORK}, {HEALTH} select hazard, territory, overall::tinyint as overall, total, s1, s2, s3, n, round(health, 9) as health from h",
+    "elec_health_grouping_sets": f"with {NETWORK}, {HEALTH} select hazard, territory, overall::tinyint as overall, total, s1, s2, s3, n, round(health, 9) as health, round(lat, 9) as lat, round(lon, 9) as lon from h",
     "water_dependency_resolution": f"""with {NETWORK}, {HEALTH}, q0 as (select hazard, case when territory % 3 = 0 then territory + 100 else territory end as territory, min(lat) as lat, min(lon) as lon from p group by 1, 2),
         {_resolved('select hazard, territory, case when territory % 2 = 0 then lat end as lat, case when territory % 2 = 0 then lon end as lon from q0')}
         select hazard, territory, tier, round(health, 9) as health, {_dependency('health')} as dependency from r""",
@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
     "subgrid_max": f"with {TRACKS}, {_cells('0.1')} select floor(i / 2::double)::bigint as i, floor(j / 2::double)::bigint as j, round(max(wind), 9) as wind, round(max(p_c), 9) as p_c from cell group by 1, 2",
     "grid_bounds": f"with {TRACKS}, {_cells('0.5')}, x as (select min(i) as a, max(i) as b, min(j) as c, max(j) as d from cell) select round(a * 0.5::double, 9) as south, round((b + 1) * 0.5::double, 9) as north, round(c * 0.5::double, 9) as west, round((d + 1) * 0.5::double, 9) as east, b - a + 1 as n_rows, d - c + 1 as n_cols from x",
     "regular_grid": "select i.range * 10 + j.range as cell_id, i.range as i, j.range as j, round(14 + (i.range * 0.1::double + least((i.range + 1) * 0.1::double, 1.05::double)) / 2, 6) as lat, round(-63 + (j.range + 0.5::double) * 0.1::double, 6) as lon from range(11) i cross join range(10) j",
-    "centroid_grid": f"with {SUPPLIERS} select distinct round(round(lat, 5) + (a.range - 1) * 0.01::double, 5) as lat, round(round(lon, 5) + (b.range - 1) * 0.01::double, 5) as lon from s cross join range(3) a cross join range(3) b where point_id < 5",
+    "centroid_grid": f"with {SUPPLIERS}, b as (select distinct round(lat, 5) as lat, round(lon, 5) as lon from s), n as (select count(*) as n from b) select distinct round(lat + (x.range - 1) * 0.01::double, 5) as lat, round(lon + (y.range - 1) * 0.01::double, 5) as lon from b cross join n cross join range(3) x cross join range(3) y where n <= 50 or (x.range = 1 and y.range = 1)",
     "gap_filled": f"""with {CELLS_25}, q as (select i, j, case when (i * 7 + j * 3) % 5 <> 0 then wind end as wind from g),
         m as (select q.i, q.j, arg_min(k.wind, {{'d': a * a + b * b, 'i': k.i, 'j': k.j}}) as v from q cross join {GRID_AROUND} o join q k on k.i = q.i + a and k.j = q.j + b where q.wind is null and k.wind is not null group by 1, 2)
         select q.i, q.j, round(coalesce(q.wind, m.v), 9) as wind from q left join m on m.i = q.i and m.j = q.j""",
@@ -263,13 +263,15 @@ ORACLES: dict[str, str] = {
     "latest_runs": "select o_custkey, arg_max(o_orderkey, {'a': o_orderdate, 'b': o_orderkey}) as o_orderkey from orders group by 1",
     "searched_rows": "select p_partkey, p_name from part where lower(p_name) like '%ring%' order by p_retailprice desc, p_partkey limit 200",
     "hazard_blocks_union": "select l_suppkey as point_id, count(*) as n, count(distinct l_orderkey) as events from lineitem group by 1",
-    "leftover_points": "select c_custkey as id from customer where (c_custkey % 3 <> 0 and c_custkey % 5 = 0) or (c_custkey % 3 = 0 and c_custkey % 7 = 0)",
+    "leftover_points": "select c_custkey as id from customer where c_custkey not in (0, 3)",
     "event_summary": f"with {EVENTS}, e as (select case when event_id % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard, event_id, loss, frequency from ev where loss > 0), r as (select *, row_number() over (partition by hazard order by loss desc, event_id)::int as rank from e) select hazard, rank, event_id, round(cast(loss as decimal(24,6)), 2)::double as loss_eur, frequency from r where rank <= 10",
     "feature_preview": "select s_suppkey as asset_id from supplier order by 1 limit 100",
     "result_document": f"with {TERRITORIES} select 'territory_results' as part, count(*) as n from tr union all select 'portfolio_results', count(distinct hazard) from tr",
-    "expired_runs": "select case when o_orderdate <= timestamp '1998-01-01' then 'expired' else 'kept' end as state, count(*) as n from orders group by 1",
+    "expired_runs": """with r as (select o_orderkey as run_id, o_orderdate as created, o_orderstatus <> 'P' as terminal, o_orderdate <= timestamp '1998-01-01' as expired from orders),
+        x as (select greatest(0, count(*) - 10) as extra from r where not expired), k as (select run_id, row_number() over (order by created, run_id) as n from r where terminal and not expired)
+        select r.run_id, case when expired then 'expired' when k.n <= extra then 'pruned' else 'kept' end as state from r cross join x left join k on k.run_id = r.run_id""",
     "windowed_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*) as n, max(value) as top from events group by 1, 2",
-    "wind_field": f"""with {TRACKS}, p as (select track_id, lat, lon, p_c - 40 as p_c, 20::double + category * 5::double as rmax from t where track_id % 10 = 0), {SUPPLIERS},
+    "wind_field": f"""with {TRACKS}, p as (select track_id, lat, lon, p_c - 40 as p_c, 20::double + category * 5::double as rmax from t), {SUPPLIERS},
         m as (select track_id, point_id as centroid_id, p.lat as lat, rmax, greatest({_km('p.lon', 'p.lat', 's.lon', 's.lat')}, 0.1::double) as km, greatest(1015 - p_c, 0::double) as dp from p join s on abs(p.lat - s.lat) <= 0.5 and abs(p.lon - s.lon) <= 0.5),
         w as (select *, pow(rmax / km, 1.5::double) as q, km * 1000 * 2 * 7.292e-5 * abs(sin(radians(lat))) / 2 as f from m)
         select track_id, centroid_id, round(max(sqrt(1.5::double / 1.15::double * q * dp * 100 * exp(-q) + f * f) - f), 6) as intensity from w group by 1, 2""",
@@ -297,5 +299,5 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"round(pml_{p} * scaler, 2) as pml_{p}" for p in (10, 20, 50, 100, 200))
     + """, round(greatest(pml_200, max_event) * scaler, 2) as pml_1000, round(tvar * scaler, 2) as tvar, round(max_event * scaler, 2) as max_event from x cross join k""",
     "derived_scenarios": "with r as (select s_suppkey, greatest(s_acctbal, 0::double) as x from supplier) select s_suppkey, round(case s_suppkey % 4 when 0 then x * 0.01::double when 1 then 0.86::double * x when 2 then x else x * 1.5::double end, 6) as loss from r",
-    "artefact_coherence": "with r as (select o_custkey as territory, o_orderkey % 2 as run_id, o_orderdate < lag(o_orderdate) over (partition by o_custkey order by o_orderkey) as back from orders where o_custkey % 7 = 0) select territory, count(distinct run_id) = 1 as one_run, not coalesce(bool_or(back), false) as ordered from r group by 1",
+    "artefact_coherence": "with r as (select o_custkey as territory, o_orderkey % 2 as run_id, o_orderdate < lag(o_orderdate) over (partition by o_custkey order by o_orderkey) as back from orders) select territory, count(distinct run_id) = 1 as one_run, not coalesce(bool_or(back), false) as ordered from r group by 1",
 }

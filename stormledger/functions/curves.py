@@ -88,6 +88,21 @@ def number_curves(curves: DataFrame) -> DataFrame:
     )
 
 
+def assign_curves(points: DataFrame, numbered: DataFrame, asset: str = "asset_type") -> DataFrame:
+    """``points`` with ``wind_id``, ``surge_id`` and ``rain_id`` by asset type; where its flood curve isn't among ``numbered``, the default one's ids, else the first ones."""
+    ids = numbered.select("code", "surge_id", "rain_id").distinct()
+    default = ids.agg(*[F.coalesce(F.max(F.when(F.col("code") == DEFAULT_FLOOD, F.col(c))), F.min(c)).alias(f"__{c}") for c in ("surge_id", "rain_id")])
+    rows = points.withColumn("code", flood_curve_code(F.col(asset))).join(ids, "code", "left").crossJoin(F.broadcast(default))  # a single row
+    return rows.withColumn("wind_id", wind_curve_id(F.col(asset))).withColumn("surge_id", F.coalesce("surge_id", "__surge_id")).withColumn("rain_id", F.coalesce("rain_id", "__rain_id")).drop("__surge_id", "__rain_id", "code")
+
+
+def payload(numbered: DataFrame) -> DataFrame:
+    """Each flood curve as the catalogue shows it: ids, both axes, damage, and the asset types that use it. A curve's points are few."""
+    kinds = numbered.sparkSession.createDataFrame([(c, a) for a, c in FLOOD_CURVE_OF.items()], "code string, asset string").groupBy("code").agg(F.array_sort(F.collect_list("asset")).alias("assets"))
+    axes = F.array_sort(F.collect_list(F.struct("depth_m", "rain_mm", "mdd"))).alias("points")
+    return numbered.groupBy("code", "surge_id", "rain_id").agg(axes).join(kinds, "code", "left").select("code", "surge_id", "rain_id", "points.depth_m", "points.rain_mm", "points.mdd", F.coalesce("assets", F.array().cast("array<string>")).alias("assets"))
+
+
 def as_arrays(curves: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """One row per curve: ``key`` and ``curve``, an array of (x, y) in order of x. A dimension: bounded by the number of curves."""
     return curves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("curve"))

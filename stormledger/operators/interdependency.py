@@ -62,10 +62,12 @@ def resolve_health(territories: DataFrame, health: DataFrame) -> DataFrame:
     """Health for each (hazard, territory, lat, lon): its own, else the nearest electric territory's, else the overall one, else 1.
 
     Works on distinct territories (not on points): the nearest one is looked for only where a territory has no electric points.
+    Both tables have a row for each territory; they're kept, as each step of the search reads them.
     """
+    health = health.persist()
     own = health.where("overall = 0").select("hazard", "territory", F.col("health").alias("own"))
     overall = health.where("overall = 1").select("hazard", F.col("health").alias("overall_health"))
-    asked = territories.join(own, ["hazard", "territory"], "left")
+    asked = territories.join(own, ["hazard", "territory"], "left").persist()
     known = health.where("overall = 0 and lat is not null and lon is not null").select("hazard", F.col("territory").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("health").alias("other_health"))
     near = nearest_health(asked.where("own is null and lat is not null and lon is not null"), known)
     out = asked.join(near, ["hazard", "territory"], "left").join(overall, "hazard", "left")

@@ -687,7 +687,9 @@ def feature_preview(spark, d):
 @query
 def result_document(spark, d):
     t = dep.territory_results(_propagated(spark, d))
-    return sinks.result_json(t, dep.portfolio_results(t)).groupBy("part").agg(F.count("*").alias("n"))
+    rows = sinks.result_json(t, dep.portfolio_results(t))
+    field = lambda name, kind: F.get_json_object("json", f"$.{name}").cast(kind).alias(name)
+    return rows.select("part", field("hazard", "string"), field("territory", "long"), *[field(c, "double") for c in ("exposure", "direct_eai", "indirect_eai", "total_eai", "risk_index", "scaler")])
 
 
 @query

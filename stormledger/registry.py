@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-from .plans.catalogue import FLAGSHIP, ORACLES, QUERIES
+from .plans import oracles
+from .plans.catalogue import FLAGSHIP, QUERIES
+from .plans.studies import STUDIES
+
+ORACLES = oracles.ORACLES | STUDIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

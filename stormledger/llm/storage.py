@@ -10,7 +10,9 @@ from pyspark import TaskContext
 
 
 def locate(uri: str) -> tuple[fs.FileSystem, str]:
-    """The filesystem of a URI (or local path) and the path in it."""
+    """The filesystem of a URI (or local path) and the path in it; Hadoop's names of S3 are S3."""
+    for name in ("s3a://", "s3n://"):
+        uri = uri.replace(name, "s3://", 1) if uri.startswith(name) else uri
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
 
 
@@ -21,9 +23,14 @@ def committed(uri: str) -> Iterator[NativeFile]:
     task = TaskContext.get()
     draft = f"{path}.{task.taskAttemptId() if task else 0}.draft"
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(draft) as out:
-        yield out
-    store.move(draft, path)
+    try:
+        with store.open_output_stream(draft) as out:
+            yield out
+        store.move(draft, path)
+    except BaseException:
+        if store.get_file_info(draft).type != fs.FileType.NotFound:
+            store.delete_file(draft)
+        raise
 
 
 @contextmanager

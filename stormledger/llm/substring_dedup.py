@@ -470,14 +470,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left out of all groups (class null, no spans), repeated ids are kept. Other columns are ignored.
     """
 
-    @F.pandas_udf("long")
-    def key_of(t: pd.Series) -> pd.Series:
-        return t.map(text_key)
+    @F.pandas_udf("tid long, n int")
+    def key_of(t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"tid": t.map(text_key).astype("int64"), "n": t.map(lambda x: len(x.split())).astype("int32")})
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
     found = cut(matches(windows(known)))
-    each = cut(known.select("doc_id", key_of("text").alias("tid"), F.size(F.split("text", r"\s+")).alias("n")))
+    each = cut(known.select("doc_id", key_of("text").alias("k")).select("doc_id", "k.tid", "k.n"))
     heads = cut(each.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.max("n").alias("n")))
 
     def check(pairs: DataFrame) -> DataFrame:

@@ -222,7 +222,7 @@ def test_grammar_weighs_clauses():
     g = Grammar({"idiot": 3.0, "vequ*": 2.0})
     f = lambda t: g.features(t)[1]
     assert f("a fine day") == 0 and f("such an idiot") == 3 and f("you idiot") == 4.5 and f("you are not an idiot") < 2
-    assert f("he said you idiot") < f("you idiot") and f("vequant") == 2 and f("vequ") == 0 and f("I will kill you") < f("you, I kill")
+    assert f("he said you idiot") < f("you idiot") and f("vequant") == 2 and f("vequ") == 0 and f("I will kill you") == f("you, I kill") == 3.0 and f("I will kill time") < 1
     assert f("not at all. you idiot") == 4.5
 
 
@@ -251,8 +251,8 @@ def test_toxicity_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     labels = {x.doc_id: x.toxic for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [x for x in queries.QUERIES["op8_toxicity"](spark, sf).collect() if x.held_out and x.doc_id in labels]
-    right = sum(x.predicted == labels[x.doc_id] for x in rows)
-    assert right / len(rows) > 0.9
+    hits = sum(x.predicted and labels[x.doc_id] for x in rows)
+    assert hits / sum(labels[x.doc_id] for x in rows) >= 0.8 and hits / sum(x.predicted for x in rows) >= 0.9
 
 
 def windows_by_hand(h, reach):

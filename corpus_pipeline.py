@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.llm.bpe_codec import encode_documents
-from stormledger.llm.common import fresh_dir, numbered, read_table
+from stormledger.llm.common import fresh_dir, read_table
 from stormledger.llm.decontaminate import contaminated
 from stormledger.llm.near_copies import without_near_copies
 from stormledger.llm.secrets import redact
@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words; candidates come from blocks of seeded SimHash
-    fingerprints. Rows are told apart by their own identity: of repeated rows one stays, rows with a null id come last in
+    Near copies have a Jaccard similarity of about 0.8 or more over shingles of five words, by blocks and Hamming distances of seeded
+    SimHash fingerprints. Rows are told apart by their own identity: of repeated rows one stays, rows with a null id come last in
     their group, and a text that nothing resembles stays whatever its id. Null texts are empty, texts without words are copies.
     """
     return without_near_copies(docs)
@@ -40,12 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold an item of ``benchmark``.
 
-    Each row is searched by its own text, whatever its id (null or repeated); null and empty texts hold nothing. With an
-    empty benchmark all rows stay; further columns are kept.
+    Each row is judged by its own text, whatever its id (null or repeated): texts are told apart by a 64-bit hash, so equal ones
+    fare alike. Null and empty texts hold nothing. With an empty benchmark all rows stay; further columns are kept.
     """
-    rows = numbered(docs)
-    found = contaminated(rows.select("row", F.col("doc.text").alias("text")), read_table(spark, sf_dir, "benchmark"), id_col="row")
-    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select("doc.*")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = contaminated(docs.select(key.alias("key"), "text"), read_table(spark, sf_dir, "benchmark"), id_col="key")
+    found = found.select("doc_id").distinct()
+    return docs.join(found.withColumnRenamed("doc_id", "__key"), key == F.col("__key"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

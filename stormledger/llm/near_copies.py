@@ -25,7 +25,7 @@ SHINGLE = 5
 #: Fingerprints that are blocks, shingles sampled for each: at the least similarity a pair shares none with probability (1 - 0.8^4)^10 = 0.005.
 BLOCKS, SAMPLED = 10, 4
 #: Fingerprints of all shingles, and how many of their 256 bits may differ; at the least similarity 39 do, with a deviation of 6.
-WHOLE, DISTANCE = 4, 48
+WHOLE, DISTANCE = 4, 46
 #: Shingles whose bits are counted at once, words whose hashes a task remembers.
 AT_ONCE, MEMO_WORDS = 100_000, 400_000
 

@@ -30,8 +30,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies have a Jaccard similarity of about 0.8 or more over shingles of five words, by blocks and Hamming distances of seeded
-    SimHash fingerprints. Rows are told apart by their own identity: of repeated rows one stays, rows with a null id come last in
+    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words; they meet by blocks and Hamming distances of
+    seeded SimHash fingerprints. Rows are told apart by their own identity: of repeated rows one stays, rows with a null id come last in
     their group, and a text that nothing resembles stays whatever its id. Null texts are empty, texts without words are copies.
     """
     return without_near_copies(docs)

@@ -1,9 +1,10 @@
-"""Near copies by seeded SimHash fingerprints: a join on blocks, Hamming verification, components.
+"""Near copies by seeded SimHash fingerprints: a join on blocks, Hamming verification, an exact check, components.
 
 Three of 64 bits is too narrow a reach for texts with a Jaccard similarity of 0.8. So a text has several fingerprints
 here, each the SimHash of a few shingles that are sampled under a seed of its own: two texts with similarity s have the same
 fingerprint with probability s to the power of the shingles sampled, whatever their lengths. Each such fingerprint is a block.
-A text is compared with the first one of each of its blocks, by 256 bits of SimHash over all their shingles.
+All texts of a block are compared by 256 bits of SimHash over all their shingles, and those within reach by the shingles
+themselves; only texts with the asked similarity are linked.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, distinct, numbered, slices, texts
+from .common import cut, distinct, fresh_dir, numbered, slices, texts
 from .components import connected_components
 from .perfect_hash import mixed
 
-#: Words of a shingle. Fingerprints are set for a Jaccard similarity of 0.8.
-SHINGLE = 5
+#: Words of a shingle, least Jaccard similarity of linked texts.
+SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints that are blocks, shingles sampled for each: at the least similarity a pair shares none with probability (1 - 0.8^4)^10 = 0.005.
 BLOCKS, SAMPLED = 10, 4
 #: Fingerprints of all shingles, and how many of their 256 bits may differ; at the least similarity 39 do, with a deviation of 6.
-WHOLE, DISTANCE = 4, 46
+WHOLE, DISTANCE = 4, 64
+#: Texts and shingles of a comparison group; blocks with more are split into chunks, and each two chunks meet.
+CHUNK_TEXTS, CHUNK_SHINGLES = 2048, 2_000_000
 #: Shingles whose bits are counted at once, words whose hashes a task remembers.
 AT_ONCE, MEMO_WORDS = 100_000, 400_000
 
@@ -77,7 +80,7 @@ def sampled_fingerprints(h: np.ndarray, starts: np.ndarray, blocks: int = BLOCKS
 
 
 def sketches(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``row``, the normalised text's 128-bit key ``k1 k2``, fingerprints of all shingles ``w`` and of samples ``blocks`` of each row of (row, text)."""
+    """``row``, the normalised text's 128-bit key ``k1 k2``, its distinct shingles' number ``size`` and fingerprints of samples ``blocks`` of each row of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up = Shingles(words)
@@ -86,55 +89,132 @@ def sketches(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
             keys = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for _, t in both], np.uint64).reshape(-1, 2)
             sets = [s if len(s) else np.zeros(1, np.uint64) for s, _ in both]  # texts without words are alike
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            starts, owner = np.cumsum(size) - size, np.repeat(np.arange(len(sets)), size)
-            whole = [majorities(mixed(h, 50 + i), owner, len(sets)) for i in range(WHOLE)] if sets else [h] * WHOLE
-            blocks = sampled_fingerprints(h, starts) if sets else np.empty((0, BLOCKS), np.uint64)
+            blocks = sampled_fingerprints(np.concatenate(sets), np.cumsum(size) - size) if sets else np.empty((0, BLOCKS), np.uint64)
             blocks = mixed(blocks, 60) + np.arange(BLOCKS, dtype=np.uint64)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (np.column_stack(whole), blocks)]
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "k1": keys[:, 0].copy().view(np.int64), "k2": keys[:, 1].copy().view(np.int64), "w": lists[0], "blocks": lists[1]})
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(blocks.view(np.int64).ravel()), BLOCKS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "k1": keys[:, 0].copy().view(np.int64), "k2": keys[:, 1].copy().view(np.int64), "size": size, "blocks": lists})
 
-    return rows.mapInArrow(run, "row long, k1 long, k2 long, w array<long>, blocks array<long>")
+    return rows.mapInArrow(run, "row long, k1 long, k2 long, size long, blocks array<long>")
 
 
-def _far(a: str, b: str):
-    """The bits in which two rows' fingerprints of all shingles differ."""
-    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, WHOLE)), F.bit_count(F.get(a, 0).bitwiseXOR(F.get(b, 0))))
+def shingle_sets(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """``row``, the fingerprints of all its shingles ``w`` and the distinct shingles as sorted 32-bit prints, both packed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut_up = Shingles(words)
+        for batch in slices(batches):
+            sets = [s if len(s) else np.zeros(1, np.uint64) for s in (cut_up(t)[0] for t in texts(batch.column(1)))]
+            if not sets:
+                continue
+            h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+            whole = np.column_stack([majorities(mixed(h, 50 + i), owner, len(sets)) for i in range(WHOLE)])
+            packed = [distinct((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "w": [x.tobytes() for x in whole], "shingles": pa.array(packed, pa.binary())})
+
+    return rows.mapInArrow(run, "row long, w binary, shingles binary")
+
+
+def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` (sorted sets, none empty) have at least this Jaccard similarity to ``one``."""
+    flat, size = np.concatenate(others), np.fromiter(map(len, others), np.int64, len(others))
+    hits = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    common = np.add.reduceat(hits, np.cumsum(size) - size, dtype=np.int64)
+    return common >= similarity * (len(one) + size - common)
 
-def text_links(heads: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` between distinct texts (``row w blocks``) whose fingerprints are within DISTANCE of each other.
 
-    Each text is compared with the first one of each of its blocks, so there is at most one comparison for each text and
-    block, however large a block is; groups are the components of the links. A text that resembles others of its blocks,
-    but none of their first ones, isn't linked to them.
+def united(w: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each text of a group the first one that links connect it to.
+
+    Each text meets all after it. Shingles are compared where the fingerprints are within DISTANCE and the two aren't
+    connected yet: first with the nearest text of each other component, then with the rest.
+    """
+    roots, size = np.arange(len(w)), np.fromiter(map(len, sets), np.int64, len(sets))
+    for i in range(len(w) - 1):
+        far = np.bitwise_count(w[i + 1 :] ^ w[i]).sum(axis=1)
+        fits = np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :])
+        near = np.flatnonzero((far <= DISTANCE) & fits & (roots[i + 1 :] != roots[i]))
+        if not len(near):
+            continue
+        near = near[np.argsort(far[near], kind="stable")] + i + 1
+        nearest = np.zeros(len(near), bool)
+        nearest[np.unique(roots[near], return_index=True)[1]] = True
+        for some in (near[nearest], near[~nearest]):
+            some = some[roots[some] != roots[i]]
+            if len(some):
+                joined = roots[some[similar(sets[i], [sets[j] for j in some], similarity)]]
+                if len(joined):
+                    joined = np.append(joined, roots[i])
+                    roots[np.isin(roots, joined)] = joined.min()
+    return roots
+
+
+def shared_blocks(heads: DataFrame) -> DataFrame:
+    """``block``, ``row`` and the block's number of chunks ``m`` for blocks with several texts; of blocks with the same texts, one."""
+    keys = heads.select("row", "size", F.explode("blocks").alias("block"))
+    same = [F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2")]
+    kept = keys.groupBy("block").agg(*same).where("n > 1").groupBy("n", "total", "x1", "x2").agg(F.min("block").alias("block"))
+    m = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("m")
+    return keys.join(kept.select("block", m), "block").select("block", "row", "m")
+
+
+def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``u``, ``v`` between distinct texts (``row size blocks`` of ``heads``, ``row text`` of ``rows``) with the components of all pairs
+    that share a block, are within DISTANCE and have at least this similarity.
+
+    A group gives one link a row at most, however many pairs it has. A block with more than CHUNK_TEXTS texts or CHUNK_SHINGLES
+    shingles is split by hash into chunks, each two of which are compared in a group of their own: no group is larger than two
+    chunks, and no pair is left out.
     """
-    keys = heads.select("row", "w", F.explode("blocks").alias("block"))
-    first = keys.groupBy("block").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = first.join(heads.select(F.col("row").alias("first"), F.col("w").alias("w1")), "first")
-    met = keys.join(first, "block").where((F.col("row") != F.col("first")) & (_far("w", "w1") <= DISTANCE))
-    return met.select(F.col("row").alias("u"), F.col("first").alias("v")).distinct()
+    out = fresh_dir(heads.sparkSession, "blocks")
+    shared_blocks(heads).write.parquet(out)  # a table, so that Spark knows its size
+    members = heads.sparkSession.read.parquet(out)
+    sets = shingle_sets(rows.join(members.select("row").distinct(), "row", "left_semi").select("row", "text"))
+    chunk = members.withColumn("c", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
+    others = F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda j: j != F.col("c")))
+    dealt = chunk.withColumn("j", F.explode(others)).select(F.xxhash64("block", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "row")
+    groups = dealt.join(sets, "row").select("g", "row", "w", "shingles").repartition("g").sortWithinPartitions("g", "row")
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        row = np.array([x[0] for x in held], np.int64)
+        w = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(-1, WHOLE)
+        roots = united(w, [np.frombuffer(x[2], np.uint32) for x in held], similarity)
+        moved = np.flatnonzero(roots != np.arange(len(roots)))
+        return pa.RecordBatch.from_pydict({"u": row[moved], "v": row[roots[moved]]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in slices(batches):
+            for g, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    if len(held) > 1:
+                        yield links(held)
+                    group, held = g, []
+                held.append(rest)
+        if len(held) > 1:
+            yield links(held)
+
+    return groups.mapInArrow(run, "u long, v long")
 
 
-def first_of_groups(rows: DataFrame) -> DataFrame:
+def first_of_groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``row`` of the one to keep of each group of near copies among (row, id, text): the least id, then the least row."""
     each = cut(sketches(rows.select("row", "text")))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     texts_ = cut(each.select("row", "k1", "k2").join(rows.select("row", "id"), "row").groupBy("k1", "k2").agg(best).select("best"))
-    heads = each.select("row", "w", "blocks").join(texts_.select(F.col("best.row").alias("row")), "row", "left_semi")
-    of = connected_components(text_links(heads))
+    heads = each.select("row", "size", "blocks").join(texts_.select(F.col("best.row").alias("row")), "row", "left_semi")
+    of = connected_components(text_links(heads, rows, similarity))
     placed = texts_.join(of, F.col("best.row") == of["node"], "left").select(F.coalesce("component", "best.row").alias("c"), "best")
     return placed.groupBy("c").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies, that with the least id; columns stay the same, whatever their names.
 
-    Near copies have a Jaccard similarity of about 0.8 or more over distinct shingles of five words; groups are the components
-    of such links. Null texts are empty, and texts without words are copies of each other. Null ids come after all
+    Texts are near copies if the Jaccard similarity of their distinct shingles of five words reaches ``similarity``; groups are the
+    components of such links. Null texts are empty, and texts without words are copies of each other. Null ids come after all
     others; rows with the same id, or a null one, are judged by their own texts. Of rows alike in everything one stays. An
     empty table stays empty.
     """
     rows = numbered(docs)
     named = rows.select("row", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"))
-    return rows.join(first_of_groups(named), "row", "left_semi").select("doc.*")
+    return rows.join(first_of_groups(named, similarity), "row", "left_semi").select("doc.*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.llm.bpe_codec import encode_documents
-from stormledger.llm.common import fresh_dir, read_table
+from stormledger.llm.common import fresh_dir, read_table, table
 from stormledger.llm.decontaminate import contaminated
 from stormledger.llm.near_copies import without_near_copies
 from stormledger.llm.secrets import redact
@@ -45,8 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     found = contaminated(docs.select(key.alias("key"), "text"), read_table(spark, sf_dir, "benchmark"), id_col="key")
-    found = found.select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "__key"), key == F.col("__key"), "left_anti")
+    found = table(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return docs.join(found, key == F.col("__key"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,15 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: unlike a checkpoint's, its size is known to Spark, which then broadcasts it only below its own bound."""
+    out = fresh_dir(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
 def numbered(docs: DataFrame, **extra: Column) -> DataFrame:
     """``docs`` with an identity for each row, written to the shared folder and read again: ``row`` (long) and ``doc`` (all of its columns), and ``extra`` columns.
 
     Ids may repeat or be null, so what has to be said of a row is said of its ``row``. Nested, no column's name clashes.
     """
     more = [c.alias(n) for n, c in extra.items()]
-    out = fresh_dir(docs.sparkSession, "numbered")
-    docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *more).write.parquet(out)
-    return docs.sparkSession.read.parquet(out)
+    return table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *more), "numbered")
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

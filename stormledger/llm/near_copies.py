@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, distinct, fresh_dir, numbered, slices, texts
+from .common import cut, distinct, numbered, slices, table, texts
 from .components import connected_components
 from .perfect_hash import mixed
 
@@ -165,9 +165,7 @@ def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY
     shingles is split by hash into chunks, each two of which are compared in a group of their own: no group is larger than two
     chunks, and no pair is left out.
     """
-    out = fresh_dir(heads.sparkSession, "blocks")
-    shared_blocks(heads).write.parquet(out)  # a table, so that Spark knows its size
-    members = heads.sparkSession.read.parquet(out)
+    members = table(shared_blocks(heads), "blocks")
     sets = shingle_sets(rows.join(members.select("row").distinct(), "row", "left_semi").select("row", "text"))
     chunk = members.withColumn("c", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
     others = F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda j: j != F.col("c")))
@@ -217,4 +215,4 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = numbered(docs)
     named = rows.select("row", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"))
-    return rows.join(first_of_groups(named, similarity), "row", "left_semi").select("doc.*")
+    return rows.join(table(first_of_groups(named, similarity), "kept"), "row", "left_semi").select("doc.*")

@@ -244,7 +244,7 @@ class LatentSpace:
     @classmethod
     def of(cls, items: Items, idf: np.ndarray, searched: np.ndarray, directions: np.ndarray, sigma: np.ndarray) -> LatentSpace:
         embedding = (directions / sigma * searched[:, None]).astype(np.float32)
-        queries = np.array([embedding[np.unique(s)].sum(axis=0) for s in items.sequences], np.float32).reshape(-1, embedding.shape[1])
+        queries = np.array([embedding[np.unique(s)].sum(axis=0) for s in items.sequences], np.float32).reshape(len(items.sequences), embedding.shape[1])
         norms = np.linalg.norm(queries, axis=1)
         return cls(idf, searched, embedding, (queries / np.where(norms > 0, norms, 1)[:, None]).T.copy())
 
@@ -361,7 +361,10 @@ def find_items(docs: DataFrame, items: Items, id_col: str = "doc_id", text_col:
     counts, blocks = block_counts(hits, n_terms)
     idf = np.log((2 + blocks) / (1 + counts))
     searched = np.where(items.telling(), idf, 0.0)
-    sent = docs.sparkSession.sparkContext.broadcast((items, LatentSpace.of(items, idf, searched, *randomised_svd(hits, searched, rank))))
+    directions, sigma = randomised_svd(hits, searched, rank)
+    if not len(sigma):  # no document has a word of the benchmark
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    sent = docs.sparkSession.sparkContext.broadcast((items, LatentSpace.of(items, idf, searched, directions, sigma)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(*sent.value)
@@ -379,7 +382,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``doc_id``, ``item_id``, ``cosine`` (latent), ``lcs`` (words in common, in order), ``lcs_ratio`` (of the item), ``answer_ratio`` (of the item's
     last sentence) and ``start_word`` (place of the passage found, in words). Every document is searched for every item. The corpus
     is read once for ``BLOCK_ITEMS`` items, which share a vocabulary and a latent space; that also bounds what is sent to tasks.
-    Null and empty texts hold nothing, items without words are never found, and an empty table gives no rows. Ids are
+    Null and empty texts hold nothing, items without words are never found; an empty table, or one that has no word of the benchmark, gives no rows. Ids are
     cast to long (what isn't a number becomes null). Rows that share an id are searched each and reported as one, by the
     best passage; a null id stays null.
     """

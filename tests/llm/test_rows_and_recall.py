@@ -176,3 +176,14 @@ def test_stages_on_empty_tables(spark, tmp_path, stage):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"file://{tmp_path}/{t}.parquet")
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     assert stage(spark, docs, f"file://{tmp_path}").collect() == []
+    assert stage(spark, docs, SF).collect() == []  # nothing is left of the documents alone
+
+
+def test_stages_on_clean_documents(spark):
+    """No text shares a word with the benchmark; columns have names that stages use, and none is n_chars."""
+    rows = [(k, t, "en", "s", "x", "y", "z") for k, t in ((1, "qwx zzy vvk"), (2, None), (None, ""), (3, "kkq " * 20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, __key string, key string, row string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        kept = [1, 3, None] if name == "simhash" else [1, 2, 3, None]
+        assert out.columns == docs.columns and len(out.collect()) == len(kept), name

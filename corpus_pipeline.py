@@ -45,17 +45,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     found = contaminated(docs.select(key.alias("key"), "text"), read_table(spark, sf_dir, "benchmark"), id_col="key")
-    found = table(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return docs.join(found, key == F.col("__key"), "left_anti")
+    name = "held_" + max(docs.columns, key=len)  # no column of docs is called so
+    found = table(found.select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(found, key == F.col(name), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; live-looking credentials are masked in their texts, and ``n_chars`` follows.
+    """All documents; live-looking credentials are masked in their texts, and ``n_chars`` (where there is one) follows.
 
     Each row is masked by its own text's spans, whatever its id. Null texts stay null with null ``n_chars``; an empty table stays empty.
     """
     masked = redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

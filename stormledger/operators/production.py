@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import impact, metrics, shares
+from ..lineage import settled
+from . import impact, metrics, multihazard, shares
 from . import interdependency as dep
 
 # The fallback engine's annual share of damage and largest event, by hazard.
@@ -52,12 +54,27 @@ def run(points: DataFrame, hazard: DataFrame, damage: Column) -> Run:
     """
     points = points.withColumn("value", F.greatest(F.lit(0.0), "value"))
     losses = impact.impact_rows(hazard, points.select("point_id", "centroid_id", "value"), None, damage)
-    each = impact.by_point(losses, ("hazard", "point_id"))
-    events = impact.by_event(losses, ("hazard", "event_id")).persist()  # read by each risk figure
-    hazards = hazard.select("hazard").distinct()
+    events = impact.by_event(losses, ("hazard", "event_id"))
+    return completed(points, impact.by_point(losses, ("hazard", "point_id")), events, hazard.select("hazard").distinct())
+
+
+def run_components(points: DataFrame, components: Mapping[str, multihazard.Component], capped: bool = False) -> tuple[Run, DataFrame]:
+    """The same for hazards of several components, each with its own events, centroids and curves; also the risk by (``hazard``, ``component``)."""
+    points = points.withColumn("value", F.greatest(F.lit(0.0), "value"))
+    found = multihazard.impacts(points, components, capped)
+    events = found.events.where(F.col("component") == multihazard.COMBINED).drop("component")
+    return completed(points, found.points.drop("value"), events, found.catalogue.select("hazard").distinct()), found.risk()
+
+
+def completed(points: DataFrame, each: DataFrame, events: DataFrame, hazards: DataFrame) -> Run:
+    """From ``eai`` and ``max_loss`` by (``hazard``, ``point_id``) and losses by (``hazard``, ``event_id``) to a run's tables.
+
+    Event losses and results by territory are settled: each is read by several figures.
+    """
+    events = settled(events)
     rows = points.crossJoin(F.broadcast(hazards)).join(each, ["hazard", "point_id"], "left").fillna(0.0, subset=["eai", "max_loss"])  # a row a hazard
-    after = propagated(rows)
-    territories = dep.territory_results(after).persist()  # a row a territory and hazard
+    after = settled(propagated(rows))
+    territories = settled(dep.territory_results(after))
     portfolio = dep.portfolio_results(territories)
     return Run(after, events, territories, portfolio, risk(events, portfolio))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import oracles
+from .plans import multihazard, oracles  # noqa: F401  (modules of queries register them)
 from .plans.catalogue import FLAGSHIP, QUERIES
 from .plans.studies import STUDIES
 

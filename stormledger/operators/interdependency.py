@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..lineage import settled
 from .impact import money_sum, steady_mean
+from .nearest import nearest_on_earth
 
 WATER = ("eau_reseau", "eau_ouvrage")
 ELECTRIC = ("elec_aerien", "elec_souterrain")
@@ -30,47 +30,31 @@ def electric_health(points: DataFrame) -> DataFrame:
     return grouped.withColumn("health", S.health(F.col("total"), F.col("s1"), F.col("s2"), F.col("s3")))
 
 
-#: Cell sizes (degrees) by which the nearest territory is looked for, from near to far.
-REACHES = (2.0,)
-
-
-def nearest_health(lost: DataFrame, known: DataFrame, reaches: Sequence[float] = REACHES) -> DataFrame:
-    """For each (hazard, territory, lat, lon) of ``lost`` the ``near`` health of the nearest of ``known`` (hazard, other, olat, olon, other_health).
+def nearest_health(lost: DataFrame, known: DataFrame) -> DataFrame:
+    """For each (hazard, territory, lat, lon) of ``lost`` the ``near`` health of the nearest of ``known`` (hazard, other, olat, olon, other_health), however far.
 
-    Both meet by grid cell and the eight cells around it. A find is final if it's closer than a cell is wide; what isn't
-    settled goes on to larger cells, and what has nothing within the largest ones to all others. Ties within a millionth
-    of a kilometre go to the smaller territory.
+    Ties within a millionth of a kilometre go to the smaller territory.
     """
-    known = known.withColumn("olon", F.explode(F.array(F.col("olon"), F.col("olon") - 360.0, F.col("olon") + 360.0)))  # across the date line
-    km = S.haversine_km(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat"))
-    best = F.min(F.struct(F.floor(F.col("km") * 1e6).alias("d"), F.col("other"), F.col("other_health").alias("near"), "km")).alias("b")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
-    out, left = None, lost.select("hazard", "territory", "lat", "lon")
-    for size in reaches:
-        asked = left.withColumn("a", F.explode(around)).withColumn("i", cell("lat", size) + F.col("a.i")).withColumn("j", cell("lon", size) + F.col("a.j"))
-        met = asked.join(known.withColumn("i", cell("olat", size)).withColumn("j", cell("olon", size)), ["hazard", "i", "j"]).withColumn("km", km)
-        sure = size * 110.0 * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + size)))
-        found = met.groupBy("hazard", "territory", "lat").agg(best).where(F.col("b.km") < sure).select("hazard", "territory", "b.near")
-        left = left.join(found, ["hazard", "territory"], "left_anti")
-        out = found if out is None else out.unionByName(found)
-    rest = left.join(known, "hazard").withColumn("km", km).groupBy("hazard", "territory").agg(best).select("hazard", "territory", "b.near")
-    return rest if out is None else out.unionByName(rest)
+    asked = lost.select(F.struct("hazard", "territory", "lat", "lon").alias("ask"), "hazard", "lat", "lon")
+    there = known.select(F.struct("other", "other_health").alias("other"), "hazard", F.col("olat").alias("lat"), F.col("olon").alias("lon"))
+    found = nearest_on_earth(asked, there, ["hazard"])
+    return found.select("ask.hazard", "ask.territory", "ask.lat", "ask.lon", F.col("other.other_health").alias("near"))
 
 
 def resolve_health(territories: DataFrame, health: DataFrame) -> DataFrame:
-    """Health for each (hazard, territory, lat, lon): its own, else the nearest electric territory's, else the overall one, else 1.
+    """Health for each (hazard, territory, lat, lon): the territory's own, else the nearest electric territory's, else the overall one, else 1.
 
-    Works on distinct territories (not on points): the nearest one is looked for only where a territory has no electric points.
-    Both tables have a row for each territory; they're kept, as each step of the search reads them.
+    Works on distinct places (not on points): the nearest one is looked for only where a territory has no electric points.
+    Both tables are settled, as each step of the search reads them.
     """
-    health = health.persist()
+    health = settled(health)
     own = health.where("overall = 0").select("hazard", "territory", F.col("health").alias("own"))
     overall = health.where("overall = 1").select("hazard", F.col("health").alias("overall_health"))
-    asked = territories.join(own, ["hazard", "territory"], "left").persist()
+    asked = settled(territories.join(own, ["hazard", "territory"], "left"))
     known = health.where("overall = 0 and lat is not null and lon is not null").select("hazard", F.col("territory").alias("other"), F.col("lat").alias("olat"), F.col("lon").alias("olon"), F.col("health").alias("other_health"))
-    near = nearest_health(asked.where("own is null and lat is not null and lon is not null"), known)
-    out = asked.join(near, ["hazard", "territory"], "left").join(overall, "hazard", "left")
+    lost = asked.where("own is null and lat is not null and lon is not null")
+    asked = asked.withColumn("near", F.lit(None).cast("double")) if lost.isEmpty() else asked.join(nearest_health(lost, known), ["hazard", "territory", "lat", "lon"], "left")
+    out = asked.join(overall, "hazard", "left")
     tier = F.when(F.col("own").isNotNull(), "local").when(F.col("near").isNotNull(), "nearest").otherwise("global")
     return out.select(*territories.columns, F.coalesce("own", "near", "overall_health", F.lit(1.0)).alias("health"), tier.alias("tier"))
 

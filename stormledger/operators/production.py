@@ -1,4 +1,4 @@
-"""The whole run: exposure points through hazards and curves, interdependency, portfolio, document; and the fallback engine."""
+"""The whole run: exposure points through hazards and curves, interdependency, portfolio, document."""
 
 from __future__ import annotations
 
@@ -8,14 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..lineage import settled
-from . import impact, metrics, multihazard, shares
+from . import impact, metrics, multihazard
 from . import interdependency as dep
 
-# The fallback engine's annual share of damage and largest event, by hazard.
-ANNUAL = {"storm": 0.22, "storm_cmcc": 0.25}
-LARGEST = {"storm": 4.5, "storm_cmcc": 4.9}
 ENGINES = ("auto", "full", "fallback")
 
 
@@ -79,30 +75,6 @@ def completed(points: DataFrame, each: DataFrame, events: DataFrame, hazards: Da
     return Run(after, events, territories, portfolio, risk(events, portfolio))
 
 
-def fallback_run(points: DataFrame) -> Run:
-    """The engine without hazards: damage by class and a stable factor, floors for water assets, annual shares and multiples.
-
-    ``points`` has ``hazard``, ``asset_id``, ``infra_class``, ``value`` and ``weight``. Electric health goes by weights.
-    """
-    sizes = points.agg((F.sum("weight") / F.countDistinct("asset_id")).alias("__c"))
-    direct = shares.fallback_damage(shares.fallback_base(F.col("__c"), F.lit(1.0)), F.col("infra_class"), F.col("hazard"), F.concat_ws("|", "hazard", "asset_id"))
-    rows = points.crossJoin(F.broadcast(sizes)).withColumn("damage", direct).drop("__c")  # a single row
-    rows = rows.withColumn("state", S.damage_state(F.col("damage")))
-    weighed = rows.withColumn("money", F.col("value")).withColumn("value", F.col("weight"))
-    places = rows.groupBy("hazard", "territory").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
-    health = dep.resolve_health(places, dep.electric_health(weighed)).select("hazard", "territory", "health")
-    rows = rows.join(health, ["hazard", "territory"], "left").withColumn("dependency", F.when(F.col("infra_class").isin(*dep.WATER), S.dependency_state(F.col("health"))).otherwise("S0"))
-    final = F.when(F.col("infra_class").isin(*dep.WATER), shares.water_damage(F.col("damage"), F.col("dependency"), F.coalesce("health", F.lit(1.0)))).otherwise(F.col("damage"))
-    annual = F.when(F.col("hazard") == "storm_cmcc", ANNUAL["storm_cmcc"]).otherwise(ANNUAL["storm"])
-    rows = rows.withColumn("final", final).withColumn("direct", F.col("value") * F.col("damage") * annual).withColumn("total", F.col("value") * F.col("final") * annual)
-    rows = rows.withColumn("indirect", F.col("total") - F.col("direct"))
-    territories = dep.territory_results(rows).persist()  # a row a territory and hazard
-    portfolio = dep.portfolio_results(territories)
-    times = F.when(F.col("hazard") == "storm_cmcc", LARGEST["storm_cmcc"]).otherwise(LARGEST["storm"])
-    most = portfolio.select("hazard", F.round(F.col("total_eai") * times, 2).alias("max_event"))
-    return Run(rows, most, territories, portfolio, most)
-
-
 def choose_engine(asked: str, has_hazard: bool, allow_fallback: bool = True) -> str:
     """``full`` or ``fallback``: the latter if asked for, or if hazards are missing and it's allowed."""
     if asked not in ENGINES:

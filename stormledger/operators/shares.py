@@ -14,6 +14,7 @@ from .impact import money_sum
 # Fixed values of the fallback engine.
 CLASS_FACTORS = {"elec_aerien": 1.2, "elec_souterrain": 0.75, "eau_reseau": 0.95, "eau_ouvrage": 1.08, "habitation": 0.82}
 SECOND_HAZARD_FACTOR = 1.24
+SPREAD = (0.82, 1.18)
 FLOORS = {"S0": 0.0, "S1": 0.07, "S2": 0.20, "S3": 0.45}
 CURVE_PERIODS = (2, 5, 10, 20, 50, 100, 200, 250, 500, 750, 1000)
 
@@ -66,9 +67,9 @@ def fallback_base(n_points: Column, n_features: Column) -> Column:
 
 
 def fallback_damage(base: Column, infra_class: Column, hazard: Column, seed: Column) -> Column:
-    """Base damage times the factors of class, hazard and a stable one of the seed (0.85 to 1.15), within 0 and 0.95."""
+    """Base damage times the factors of class, hazard and a stable one of the seed (``feature|hazard|class``), within 0 and 0.95."""
     factor = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CLASS_FACTORS.items() for x in kv]), infra_class), F.lit(1.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(0.95), base * factor * F.when(hazard == "storm_cmcc", SECOND_HAZARD_FACTOR).otherwise(1.0) * stable_factor(seed, 0.85, 1.15)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(0.95), base * factor * F.when(hazard == "storm_cmcc", SECOND_HAZARD_FACTOR).otherwise(1.0) * stable_factor(seed, *SPREAD)))
 
 
 def water_damage(direct: Column, dependency: Column, health: Column) -> Column:

@@ -312,7 +312,7 @@ def frequency_curves(spark, d):
 @query
 def fallback_factor(spark, d):
     rows = A.network(spark, d)
-    return rows.select("point_id", "hazard", shares.fallback_damage(F.lit(0.08), F.col("infra_class"), F.col("hazard"), F.concat_ws("|", "hazard", "asset_id")).alias("damage"))
+    return rows.select("point_id", "hazard", shares.fallback_damage(F.lit(0.08), F.col("infra_class"), F.col("hazard"), F.concat_ws("|", "asset_id", "hazard", "infra_class")).alias("damage"))
 
 
 @query

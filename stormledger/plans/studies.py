@@ -8,7 +8,7 @@ from ..functions import classes as K
 from ..functions import curves as C
 from ..functions import scalars as S
 from ..operators import comparison as comp
-from ..operators import grid, impact, production, proxy, sampling
+from ..operators import fallback, grid, impact, production, proxy, sampling
 from . import adapters as A
 from .catalogue import _events, _flood_points, _propagated, _rounded, query
 from .oracles import EVENTS, FLOOD, LOSSES, NETWORK, PARTS, PORTFOLIO, PROPAGATED, TRACKS, _cents, _km, _lat, _lon, _mdd, _money
@@ -352,8 +352,11 @@ def run_document(spark, d):
 
 @query
 def fallback_results(spark, d):
-    points = A.network(spark, d).withColumn("weight", F.when(F.col("infra_class") == "eau_reseau", F.col("k") % 37 / 10.0 + 0.1).otherwise(1.0))
-    return production.figures(production.fallback_run(points)).select("part", "hazard", "name", "figure", F.round("amount", 2).alias("amount"))
+    """The engine without hazards over all points of both networks; every seventh has no place."""
+    lat, lon = (F.when(F.col("k") % 7 > 0, F.col(c)) for c in ("lat", "lon"))
+    weight = F.when(F.col("infra_class") == "eau_reseau", F.col("k") % 37 / 10.0 + 0.1).otherwise(1.0)
+    points = A.network(spark, d).where("hazard = 'storm'").select(F.col("asset_id").alias("feature_id"), S.territory_cell(lat, lon).alias("territory"), lat.alias("lat"), lon.alias("lon"), "infra_class", "value", weight.alias("weight"), (F.col("k") % 9 + 1).alias("n_points"))
+    return fallback.figures(fallback.fallback_run(points))
 
 
 @study(f"with {PORTFOLIO}, x as (select * from po) select hazard, p as return_period, round(total_eai * p / 100::double, 2) as annual, round(round(total_eai * p / 100::double, 2) * 1.105::double, 2) as lifetime_30, round(round(total_eai * p / 100::double, 2) * 1.175::double, 2) as lifetime_50 from x cross join (values (10), (20), (50), (100), (200)) v(p)")

@@ -1,12 +1,7 @@
-"""Points from geometries: lines natively, polygons by ray casting in Arrow batches; values split over points."""
+"""Points on lines, values split over points."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,67 +38,6 @@ def sample_lines(features: DataFrame, spacing: float, most: int = 300, number: C
     return rows.where(F.col("__a").isNotNull()).withColumn("x", at("x")).withColumn("y", at("y")).drop("path", "n", "__m", "__len", "__n", "__at", "__a", "__b")
 
 
-def allot(sizes: list[float], total: int) -> list[int]:
-    """``total`` split in proportion to sizes: at least one each, rounded half to even, stopped at the total."""
-    whole, out, left = sum(sizes), [], total
-    for s in sizes:
-        n = min(left, max(1, round(total * s / whole) if whole > 0 else 1))
-        out.append(n)
-        left -= n
-    return out
-
-
-def inside(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether points are in a ring, by crossings of a ray."""
-    out = np.zeros(len(x), bool)
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        crosses = (y1 > y) != (y2 > y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out ^= crosses & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-    return out
-
-
-def area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
-
-
-def polygon_points(rings: list[np.ndarray], spacing: float, most: int) -> np.ndarray:
-    """Centres of a grid inside a polygon (outer ring, then holes), about one to ``spacing`` squared; else one inner point."""
-    size = max(area(rings[0]) - sum(map(area, rings[1:])), 0.0)
-    target = min(most, max(1, math.ceil(size / spacing**2)))
-    cell = math.sqrt(size / target) if size else spacing
-    low, high = rings[0].min(axis=0), rings[0].max(axis=0)
-    xs, ys = (np.arange(a + cell / 2, b, cell) for a, b in zip(low, high, strict=True))
-    x, y = (g.ravel() for g in np.meshgrid(xs, ys))
-    keep = inside(rings[0], x, y)
-    for hole in rings[1:]:
-        keep &= ~inside(hole, x, y)
-    out = np.column_stack([x[keep], y[keep]])[:most]
-    return out if len(out) else rings[0].mean(axis=0, keepdims=True)
-
-
-def sample_polygons(features: DataFrame, spacing: float, most: int = 300) -> DataFrame:
-    """Inner points of polygons (``feature_id``, ``polygons``: arrays of rings of (x, y)); several share the number by area."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, polygons in zip(pdf["feature_id"], pdf["polygons"], strict=True):
-                parts = [[np.array([(p["x"], p["y"]) for p in ring]) for ring in rings] for rings in (polygons if polygons is not None else []) if len(rings)]
-                sizes = [area(r[0]) for r in parts]
-                total = min(most, max(1, math.ceil(sum(sizes) / spacing**2)))
-                k = 0
-                for rings, n in zip(parts, allot(sizes, max(total, len(parts))), strict=True):
-                    for x, y in polygon_points(rings, spacing, max(1, n))[: max(1, n)]:
-                        out.append((key, k, float(x), float(y)))
-                        k += 1
-            yield pd.DataFrame(out, columns=["feature_id", "k", "x", "y"])
-
-    kind = features.schema["feature_id"].dataType.simpleString()
-    return features.select("feature_id", "polygons").mapInPandas(run, f"feature_id {kind}, k int, x double, y double")
-
-
 def explode_points(features: DataFrame, samples: DataFrame) -> DataFrame:
     """Exposure points: ``point_id`` is ``<feature>::p<k>``, the feature's value is split evenly over its points."""
     n = samples.groupBy("feature_id").agg(F.count("*").alias("n"))

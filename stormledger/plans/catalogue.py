@@ -553,15 +553,6 @@ def line_sampling(spark, d):
     return _rounded(sampling.sample_lines(A.table(spark, d, "supplier").select(k.alias("feature_id"), path.alias("path")), 100.0))
 
 
-@query
-def polygon_sampling(spark, d):
-    k = F.col("s_suppkey")
-    point = lambda x, y: F.struct(F.lit(x).cast("double").alias("x"), y.cast("double").alias("y"))
-    side = (k % 40 + 5) * 10
-    ring = F.array(point(0, F.lit(0)), point(400, F.lit(0)), point(400, side), point(0, side))
-    return sampling.sample_polygons(A.table(spark, d, "supplier").select(k.alias("feature_id"), F.array(F.array(ring)).alias("polygons")), 100.0)
-
-
 # Hazard fields and case studies
 
 

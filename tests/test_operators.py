@@ -127,14 +127,6 @@ def test_lines(spark):
     assert [(r.x, r.y) for r in got] == [(0.0, 0.0), (50.0, 0.0), (100.0, 0.0), (100.0, 50.0)]
 
 
-def test_polygons():
-    square = np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)
-    hole = np.array([(0, 0), (100, 0), (100, 50), (0, 50)], float)
-    assert len(sampling.polygon_points([square], 50.0, 300)) == 4
-    assert (sampling.polygon_points([square, hole], 20.0, 300)[:, 1] > 50).all()
-    assert sampling.allot([1.0, 1.0, 2.0], 4) == [1, 1, 2]
-
-
 def test_id_packing(spark):
     r = one(spark, a=codecs.unpack_ids(codecs.pack_ids(F.array(F.lit("b"), F.lit(" a "), F.lit("b"), F.lit("")))), b=codecs.unpack_ids(F.lit("no")), f=codecs.stable_factor(F.lit("x"), 1.0, 2.0))
     assert r.a == ["a", "b"] and r.b == [] and 1 <= r.f < 2

@@ -1,22 +1,26 @@
-"""Cutting long plans: an intermediate table of known use is written once to the checkpoint folder and continued from there."""
+"""Cutting long plans: an intermediate table of known use is written once to the shared folder and continued from there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed and kept in ``spark.checkpoint.dir``, so that neither planning nor a lost executor goes back behind it.
-
-    Only local sessions may leave that setting out; they get a folder of their own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only local sessions may leave that unset; they get one of their own."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="stormledger-"))
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="stormledger-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed and kept in the shared folder, so that neither planning nor a lost executor goes back behind it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -672,7 +672,7 @@ def event_summary(spark, d):
 @query
 def feature_preview(spark, d):
     rows = A.suppliers(spark, d).select(F.col("point_id").alias("asset_id"), "lat", "lon", F.col("value").alias("value_eur"))
-    return sinks.preview(rows, 100).select("asset_id")
+    return sinks.preview(rows, 100)
 
 
 @query

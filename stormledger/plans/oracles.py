@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
     "hazard_blocks_union": "select l_suppkey as point_id, count(*) as n, count(distinct l_orderkey) as events from lineitem group by 1",
     "leftover_points": "select c_custkey as id from customer where c_custkey not in (0, 3)",
     "event_summary": f"with {EVENTS}, e as (select case when event_id % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard, event_id, loss, frequency from ev where loss > 0), r as (select *, row_number() over (partition by hazard order by loss desc, event_id)::int as rank from e) select hazard, rank, event_id, round(cast(loss as decimal(24,6)), 2)::double as loss_eur, frequency from r where rank <= 10",
-    "feature_preview": "select s_suppkey as asset_id from supplier order by 1 limit 100",
+    "feature_preview": f"""select s_suppkey as asset_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || {_lon('s_suppkey')} || ',' || {_lat('s_suppkey')} || ']}},"properties":{{"asset_id":' || s_suppkey || ',"value_eur":' || greatest(0::double, s_acctbal) || '}}}}' as feature from supplier order by 1 limit 100""",
     "result_document": f"""with {PORTFOLIO} select 'territory_results' as part, hazard, territory::bigint as territory, exposure, direct_eai, indirect_eai, total_eai, risk_index, null::double as scaler from tr
         union all select 'portfolio_results', hazard, null, exposure, direct_eai, indirect_eai, total_eai, null, round(total_eai / greatest(direct_eai, 1::double), 6) from po""",
     "expired_runs": """with r as (select o_orderkey as run_id, o_orderdate as created, o_orderstatus <> 'P' as terminal, o_orderdate <= timestamp '1998-01-01' as expired from orders),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..lineage import settled
+from . import geojson
 
 MOST_ERRORS = 16
 DRAWN_VALUE = 1_000_000.0
@@ -50,10 +52,11 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def accept(rows: DataFrame) -> DataFrame:
     """The checked rows; if any has an error, the first ones are raised together and none is taken."""
+    rows = settled(rows)  # read once for the check and once for what follows
     errors = [r.error for r in rows.where("error is not null").orderBy("row").select("error").limit(MOST_ERRORS).collect()]
     if errors:
         raise InputError("; ".join(errors))
-    return rows.select("asset_id", "label", "asset_type", "exposure_category", "value_eur", "lat", "lon", "geometry_wkt")
+    return rows.drop("row", "error", *[c for c in rows.columns if c.startswith("raw_")])
 
 
 def read_csv(spark: SparkSession, path: str, fields: Mapping[str, str] | None = None) -> DataFrame:
@@ -85,14 +88,6 @@ def read_csv(spark: SparkSession, path: str, fields: Mapping[str, str] | None =
     )
 
 
-def box_of(coordinates: Column) -> dict[str, Column]:
-    """The box of a GeoJSON coordinates text, whatever its nesting: innermost pairs are read in order."""
-    pairs = F.regexp_extract_all(coordinates, F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), F.lit(1))
-    others = F.regexp_extract_all(coordinates, F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), F.lit(2))
-    number = lambda a: F.transform(a, lambda x: x.try_cast("double"))
-    return {"lon_min": F.array_min(number(pairs)), "lon_max": F.array_max(number(pairs)), "lat_min": F.array_min(number(others)), "lat_max": F.array_max(number(others))}
-
-
 def read_geojson(spark: SparkSession, path: str, value_field: str = "value_eur", default_value: float | None = None) -> DataFrame:
     """A FeatureCollection: one row a feature with its properties as text and its box's middle as place.
 
@@ -103,29 +98,41 @@ def read_geojson(spark: SparkSession, path: str, value_field: str = "value_eur",
     if kind is None or kind.t != "FeatureCollection":
         raise InputError("a FeatureCollection is asked for")
     features = text.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("k", "f"))
-    return features_table(features, value_field, default_value)
+    return accept(features_table(features, value_field, default_value))
+
+
+def read_geojson_lines(spark: SparkSession, path: str, value_field: str = "value_eur", default_value: float | None = None) -> DataFrame:
+    """A feature to a line, for collections that are too large for one text: files are split and read by many tasks.
+
+    Errors name features by their line's place in the reading, which is the file's order for one file.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("k"), F.col("value").alias("f"))
+    return accept(features_table(lines, value_field, default_value))
 
 
 def features_table(features: DataFrame, value_field: str = "value_eur", default_value: float | None = None) -> DataFrame:
-    """Rows of GeoJSON features (``k``, ``f``: JSON text) as exposure."""
+    """Rows of GeoJSON features (``k``, ``f``: JSON text) as exposure, with their ``row`` and first ``error``: no geometry, no finite value."""
     prop = lambda name: F.get_json_object("f", f"$.properties.{name}")
-    box = box_of(F.get_json_object("f", "$.geometry.coordinates"))
+    features = features.withColumn("__box", geojson.box(F.get_json_object("f", "$.geometry")))
     out = features.select(
+        (F.col("k") + 1).alias("row"),
         F.coalesce(prop("asset_id"), prop("id"), (F.col("k") + 1).cast("string")).alias("asset_id"),
         F.coalesce(prop("label"), prop("name"), F.concat(F.lit("Feature "), F.col("k") + 1)).alias("label"),
         F.get_json_object("f", "$.geometry.type").alias("geometry_type"),
         S.asset_type(prop("asset_type")).alias("asset_type"),
         S.category(prop("exposure_category")).alias("exposure_category"),
         F.coalesce(S.checked_number(prop(value_field)), F.lit(default_value).cast("double")).alias("value_eur"),
-        *[c.alias(n) for n, c in box.items()],
+        "__box.*",
     )
-    return out.withColumn("lon", (F.col("lon_min") + F.col("lon_max")) / 2).withColumn("lat", (F.col("lat_min") + F.col("lat_max")) / 2)
+    out = out.withColumn("lon", (F.col("lon_min") + F.col("lon_max")) / 2).withColumn("lat", (F.col("lat_min") + F.col("lat_max")) / 2)
+    number = F.concat(F.lit("feature "), F.col("row"))
+    return out.withColumn("error", F.when(F.col("lon").isNull(), F.concat(number, F.lit(": no geometry with coordinates"))).when(F.col("value_eur").isNull(), F.concat(number, F.lit(": value isn't a finite number"))))
 
 
 def read_drawn(spark: SparkSession, text: str) -> DataFrame:
     """Drawn features, as a FeatureCollection's text; without a value they're worth DRAWN_VALUE."""
     one = spark.createDataFrame([(text,)], "value string")
-    return features_table(one.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("k", "f")), default_value=DRAWN_VALUE)
+    return accept(features_table(one.select(F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("k", "f")), default_value=DRAWN_VALUE))
 
 
 def read_exposure(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -135,4 +142,6 @@ def read_exposure(spark: SparkSession, path: str, **options) -> DataFrame:
         return accept(checked(read_csv(spark, path, **options)))
     if suffix in (".geojson", ".json"):
         return read_geojson(spark, path, **options)
-    raise InputError(f"{suffix}: give one of .csv, .geojson, .json" + (" (convert it first: its reader isn't part of Spark)" if suffix in SUFFIXES else ""))
+    if suffix in (".geojsonl", ".geojsons"):
+        return read_geojson_lines(spark, path, **options)
+    raise InputError(f"{suffix}: give one of .csv, .geojson, .json, .geojsonl" + (" (convert it first: its reader isn't part of Spark)" if suffix in SUFFIXES else ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 PREVIEW = 5000
@@ -20,9 +20,17 @@ def feature(point: str = "Point", **properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*[c.alias(n) for n, c in properties.items()]).alias("properties")))
 
 
-def preview(exposure: DataFrame, most: int = PREVIEW) -> DataFrame:
-    """The first features that have a place, by id, as GeoJSON; a preview is a bounded listing."""
-    rows = exposure.where("lon is not null and lat is not null").orderBy("asset_id").limit(most)
+def preview(exposure: DataFrame, most: int = PREVIEW, observed: Observation | None = None) -> DataFrame:
+    """The first features that have a place, by id, as GeoJSON; a preview is a bounded listing.
+
+    ``observed`` tells, once the preview has been read, the ``total`` of such features, how many were left out for want of a place
+    (``placeless``) and whether the listing was ``truncated``: all from the same run.
+    """
+    rows = exposure.withColumn("__there", F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    if observed is not None:
+        total = F.count_if("__there")
+        rows = rows.observe(observed, total.alias("total"), F.count_if(~F.col("__there")).alias("placeless"), (total > most).alias("truncated"))
+    rows = rows.where("__there").orderBy("asset_id").limit(most)
     return rows.select("asset_id", feature(asset_id=F.col("asset_id"), value_eur=F.col("value_eur")).alias("feature"))
 
 

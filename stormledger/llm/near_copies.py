@@ -3,8 +3,8 @@
 Three of 64 bits is too narrow a reach for texts with a Jaccard similarity of 0.8. So a text has several fingerprints
 here, each the SimHash of a few shingles that are sampled under a seed of its own: two texts with similarity s have the same
 fingerprint with probability s to the power of the shingles sampled, whatever their lengths. Each such fingerprint is a block.
-All texts of a block are compared by 256 bits of SimHash over all their shingles, and those within reach by the shingles
-themselves; only texts with the asked similarity are linked.
+All texts of a block meet by 256 bits of SimHash over all their shingles; what lies within reach makes candidate groups, one for
+each text. In those the shingles themselves are compared: only texts with the asked similarity are linked.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, SAMPLED = 10, 4
 #: Fingerprints of all shingles, and how many of their 256 bits may differ; at the least similarity 39 do, with a deviation of 6.
 WHOLE, DISTANCE = 4, 64
-#: Texts and shingles of a comparison group; blocks with more are split into chunks, and each two chunks meet.
+#: Texts and shingles of a chunk; groups with more are split into several.
 CHUNK_TEXTS, CHUNK_SHINGLES = 2048, 2_000_000
 #: Shingles whose bits are counted at once, words whose hashes a task remembers.
 AT_ONCE, MEMO_WORDS = 100_000, 400_000
@@ -80,7 +80,7 @@ def sampled_fingerprints(h: np.ndarray, starts: np.ndarray, blocks: int = BLOCKS
 
 
 def sketches(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``row``, the normalised text's 128-bit key ``k1 k2``, its distinct shingles' number ``size`` and fingerprints of samples ``blocks`` of each row of (row, text)."""
+    """Of each row of (row, text): ``row``, the normalised text's 128-bit key ``k1 k2``, its distinct shingles' number ``size``, fingerprints of samples ``blocks`` and those of all shingles ``w``, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up = Shingles(words)
@@ -89,29 +89,27 @@ def sketches(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
             keys = np.array([divmod(xxhash.xxh3_128_intdigest(t), 1 << 64) for _, t in both], np.uint64).reshape(-1, 2)
             sets = [s if len(s) else np.zeros(1, np.uint64) for s, _ in both]  # texts without words are alike
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            blocks = sampled_fingerprints(np.concatenate(sets), np.cumsum(size) - size) if sets else np.empty((0, BLOCKS), np.uint64)
+            flat, owner = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size)
+            blocks = sampled_fingerprints(flat, np.cumsum(size) - size) if sets else np.empty((0, BLOCKS), np.uint64)
+            whole = np.column_stack([majorities(mixed(flat, 50 + i), owner, len(sets)) for i in range(WHOLE)])
             blocks = mixed(blocks, 60) + np.arange(BLOCKS, dtype=np.uint64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(blocks.view(np.int64).ravel()), BLOCKS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "k1": keys[:, 0].copy().view(np.int64), "k2": keys[:, 1].copy().view(np.int64), "size": size, "blocks": lists})
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "k1": keys[:, 0].copy().view(np.int64), "k2": keys[:, 1].copy().view(np.int64), "size": size, "blocks": lists, "w": pa.array([x.tobytes() for x in whole], pa.binary())})
 
-    return rows.mapInArrow(run, "row long, k1 long, k2 long, size long, blocks array<long>")
+    return rows.mapInArrow(run, "row long, k1 long, k2 long, size long, blocks array<long>, w binary")
 
 
 def shingle_sets(rows: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """``row``, the fingerprints of all its shingles ``w`` and the distinct shingles as sorted 32-bit prints, both packed."""
+    """``row`` and its distinct ``shingles`` as sorted 32-bit prints, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut_up = Shingles(words)
         for batch in slices(batches):
             sets = [s if len(s) else np.zeros(1, np.uint64) for s in (cut_up(t)[0] for t in texts(batch.column(1)))]
-            if not sets:
-                continue
-            h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
-            whole = np.column_stack([majorities(mixed(h, 50 + i), owner, len(sets)) for i in range(WHOLE)])
             packed = [distinct((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "w": [x.tobytes() for x in whole], "shingles": pa.array(packed, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "shingles": pa.array(packed, pa.binary())})
 
-    return rows.mapInArrow(run, "row long, w binary, shingles binary")
+    return rows.mapInArrow(run, "row long, shingles binary")
 
 
 def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -122,60 +120,44 @@ def similar(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.
     return common >= similarity * (len(one) + size - common)
 
 
-def united(w: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each text of a group the first one that links connect it to.
+def united(known: np.ndarray, size: np.ndarray, w: np.ndarray, sets: list[np.ndarray] | None, similarity: float) -> np.ndarray:
+    """For each text of a group the first one that links connect it to; texts with the same ``known`` value are connected already.
 
-    Each text meets all after it. Shingles are compared where the fingerprints are within DISTANCE and the two aren't
-    connected yet: first with the nearest text of each other component, then with the rest.
+    Each text meets all after it that it isn't connected with. Those within DISTANCE whose sizes allow the similarity are
+    linked, if ``sets`` are given just where the sets agree: first the nearest text of each other component is compared, then the rest.
     """
-    roots, size = np.arange(len(w)), np.fromiter(map(len, sets), np.int64, len(sets))
+    roots = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
     for i in range(len(w) - 1):
-        far = np.bitwise_count(w[i + 1 :] ^ w[i]).sum(axis=1)
-        fits = np.minimum(size[i], size[i + 1 :]) >= similarity * np.maximum(size[i], size[i + 1 :])
-        near = np.flatnonzero((far <= DISTANCE) & fits & (roots[i + 1 :] != roots[i]))
+        apart = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
+        if not len(apart):
+            continue
+        far = np.bitwise_count(w[apart] ^ w[i]).sum(axis=1)
+        fits = np.minimum(size[i], size[apart]) >= similarity * np.maximum(size[i], size[apart])
+        on = (far <= DISTANCE) & fits
+        near = apart[on][np.argsort(far[on], kind="stable")]
         if not len(near):
             continue
-        near = near[np.argsort(far[near], kind="stable")] + i + 1
         nearest = np.zeros(len(near), bool)
         nearest[np.unique(roots[near], return_index=True)[1]] = True
         for some in (near[nearest], near[~nearest]):
             some = some[roots[some] != roots[i]]
             if len(some):
-                joined = roots[some[similar(sets[i], [sets[j] for j in some], similarity)]]
+                joined = roots[some if sets is None else some[similar(sets[i], [sets[j] for j in some], similarity)]]
                 if len(joined):
                     joined = np.append(joined, roots[i])
                     roots[np.isin(roots, joined)] = joined.min()
     return roots
 
 
-def shared_blocks(heads: DataFrame) -> DataFrame:
-    """``block``, ``row`` and the block's number of chunks ``m`` for blocks with several texts; of blocks with the same texts, one."""
-    keys = heads.select("row", "size", F.explode("blocks").alias("block"))
-    same = [F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2")]
-    kept = keys.groupBy("block").agg(*same).where("n > 1").groupBy("n", "total", "x1", "x2").agg(F.min("block").alias("block"))
-    m = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int").alias("m")
-    return keys.join(kept.select("block", m), "block").select("block", "row", "m")
-
-
-def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``u``, ``v`` between distinct texts (``row size blocks`` of ``heads``, ``row text`` of ``rows``) with the components of all pairs
-    that share a block, are within DISTANCE and have at least this similarity.
-
-    A group gives one link a row at most, however many pairs it has. A block with more than CHUNK_TEXTS texts or CHUNK_SHINGLES
-    shingles is split by hash into chunks, each two of which are compared in a group of their own: no group is larger than two
-    chunks, and no pair is left out.
-    """
-    members = table(shared_blocks(heads), "blocks")
-    sets = shingle_sets(rows.join(members.select("row").distinct(), "row", "left_semi").select("row", "text"))
-    chunk = members.withColumn("c", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
-    others = F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda j: j != F.col("c")))
-    dealt = chunk.withColumn("j", F.explode(others)).select(F.xxhash64("block", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "row")
-    groups = dealt.join(sets, "row").select("g", "row", "w", "shingles").repartition("g").sortWithinPartitions("g", "row")
+def compared(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u``, ``v`` within each group ``g`` of ``dealt`` (g, row, known, size, w and perhaps shingles): one a row at most."""
+    exact = "shingles" in dealt.columns
+    columns = ["g", "row", "known", "size", "w", *(["shingles"] if exact else [])]
 
     def links(held: list[tuple]) -> pa.RecordBatch:
-        row = np.array([x[0] for x in held], np.int64)
-        w = np.frombuffer(b"".join(x[1] for x in held), np.uint64).reshape(-1, WHOLE)
-        roots = united(w, [np.frombuffer(x[2], np.uint32) for x in held], similarity)
+        row, known, size = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        w = np.frombuffer(b"".join(x[3] for x in held), np.uint64).reshape(-1, WHOLE)
+        roots = united(known, size, w, [np.frombuffer(x[4], np.uint32) for x in held] if exact else None, similarity)
         moved = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.RecordBatch.from_pydict({"u": row[moved], "v": row[roots[moved]]})
 
@@ -191,15 +173,79 @@ def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY
         if len(held) > 1:
             yield links(held)
 
-    return groups.mapInArrow(run, "u long, v long")
+    return dealt.select(columns).repartition("g").sortWithinPartitions("g", "row").mapInArrow(run, "u long, v long")
+
+
+def links_within(members: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
+    """Links with the components of all pairs that share a group: ``members`` has ``g``, ``row`` and ``size``, ``payload`` what is compared, by row.
+
+    A group within CHUNK_TEXTS and CHUNK_SHINGLES is compared at once. A larger one is split by hash into chunks, each compared in
+    itself; then one text of each component found, chunk by chunk again. What is still apart from the group's largest component
+    meets all texts of the group: it alone goes to every chunk. So in a huge group of near copies a text is sent a few times,
+    and no pair is left out.
+    """
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    chunks = lambda n, total: F.greatest(F.ceil(n / CHUNK_TEXTS), F.ceil(total / CHUNK_SHINGLES)).cast("int")
+    part = lambda m: F.pmod(F.xxhash64("row"), m).cast("int")
+    held = table(members.join(sizes.select("g", chunks(F.col("n"), F.col("total")).alias("m")), "g").withColumn("c", part(F.col("m"))), "members")
+    with_payload = lambda df: compared(df.join(payload.hint("merge"), "row"), similarity)
+    found = table(with_payload(held.select(F.xxhash64("g", "c").alias("g"), "row", "size", F.col("row").alias("known"))), "links")
+    large = held.where("m > 1")
+    if large.isEmpty():
+        return found
+
+    def placed(links: DataFrame) -> DataFrame:
+        """Members of large groups with the component that links have put them in so far."""
+        of = connected_components(links)
+        return large.join(of, large["row"] == of["node"], "left").select(large["*"], F.coalesce("component", large["row"]).alias("known"))
+
+    so_far = placed(found)
+    heads = so_far.where("row = known")
+    more = heads.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("g", chunks(F.col("n"), F.col("total")).alias("k"))
+    heads = heads.join(more, "g").select(F.xxhash64("g", part(F.col("k")), F.lit(1)).alias("g"), "row", "size", "known")
+    found = table(found.unionAll(with_payload(heads)), "links")
+
+    so_far = table(placed(found), "members")
+    numbers = so_far.groupBy("g", "known").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    largest = numbers.groupBy("g").agg(F.max_by("known", F.struct("n", "known")).alias("most"))
+    apart = so_far.join(largest, "g").where("known <> most").drop("most")
+    left = apart.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("g", chunks(F.col("n"), F.col("total")).alias("k"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    everyone = so_far.join(left, "g").withColumn("l", each(F.col("k"))).select("g", "c", "l", "row", "size", "known")
+    again = apart.join(left, "g").withColumn("l", part(F.col("k"))).withColumn("c", each(F.col("m"))).select("g", "c", "l", "row", "size", "known")
+    dealt = everyone.unionAll(again).distinct().select(F.xxhash64("g", "c", "l", F.lit(2)).alias("g"), "row", "size", "known")
+    return table(found.unionAll(with_payload(dealt)), "links")
+
+
+def shared_blocks(heads: DataFrame) -> DataFrame:
+    """``g``, ``row`` and ``size`` for blocks with several texts; of blocks with the same texts, one."""
+    keys = heads.select("row", "size", F.explode("blocks").alias("g"))
+    same = [F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2")]
+    kept = keys.groupBy("g").agg(*same).where("n > 1").groupBy("n", "total", "x1", "x2").agg(F.min("g").alias("g"))
+    return keys.join(kept.select("g"), "g").select("g", "row", "size")
+
+
+def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``u``, ``v`` between distinct texts (``row size blocks w`` of ``heads``, ``row text`` of ``rows``) with the components of all pairs
+    that share a block, are within DISTANCE and have at least this similarity.
+
+    Blocks are compared by fingerprints alone. Each text is then in one candidate group at most, and there alone its shingles are
+    sent. Joins with texts and fingerprints are by shuffle whatever the tables' sizes: nothing that grows is broadcast.
+    """
+    candidates = connected_components(links_within(shared_blocks(heads), heads.select("row", "w"), similarity))
+    candidates = table(candidates.select(F.col("component").alias("g"), F.col("node").alias("row")), "candidates")
+    sets = shingle_sets(rows.select("row", "text").join(candidates.select("row").hint("merge"), "row", "left_semi"))
+    payload = table(sets.join(heads.select("row", "w").hint("merge"), "row"), "sets")
+    members = candidates.join(heads.select("row", "size").hint("merge"), "row")
+    return links_within(members, payload, similarity)
 
 
 def first_of_groups(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``row`` of the one to keep of each group of near copies among (row, id, text): the least id, then the least row."""
-    each = cut(sketches(rows.select("row", "text")))
+    each = table(sketches(rows.select("row", "text")), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))).alias("best")
     texts_ = cut(each.select("row", "k1", "k2").join(rows.select("row", "id"), "row").groupBy("k1", "k2").agg(best).select("best"))
-    heads = each.select("row", "size", "blocks").join(texts_.select(F.col("best.row").alias("row")), "row", "left_semi")
+    heads = table(each.select("row", "size", "blocks", "w").join(texts_.select(F.col("best.row").alias("row")).hint("merge"), "row", "left_semi"), "heads")
     of = connected_components(text_links(heads, rows, similarity))
     placed = texts_.join(of, F.col("best.row") == of["node"], "left").select(F.coalesce("component", "best.row").alias("c"), "best")
     return placed.groupBy("c").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))

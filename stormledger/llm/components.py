@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a partition holds at least: a short list isn't spread over as many files as a long one.
+PART_EDGES = 200_000
 #: Rounds after which something must be wrong: each round at least halves the longest path.
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _few(df: DataFrame, edges: int) -> DataFrame:
+    """``df``, made of so many edges, in no more partitions than they need."""
+    return df.coalesce(max(1, 2 * edges // PART_EDGES))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Link each node's larger neighbours to its smallest one (or itself)."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
+    least = cut(_few(both.groupBy("u").agg(F.min("v").alias("m")), n))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them; edges point from larger to smaller."""
-    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+    least = cut(_few(edges.groupBy("u").agg(F.min("v").alias("m")), n))
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -40,10 +47,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)
     state = _state(edges)
+    edges = _few(edges, state[0])
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = cut(_small_star(cut(_large_star(edges))))
+        n = state[0]
+        edges = cut(_few(_small_star(cut(_few(_large_star(edges, n), n)), n), n))
         before, state = state, _state(edges)
         if state == before:
             break

@@ -30,7 +30,7 @@ WHOLE, DISTANCE = 4, 64
 #: Texts and shingles of a chunk; groups with more are split into several.
 CHUNK_TEXTS, CHUNK_SHINGLES = 2048, 2_000_000
 #: Shingles whose bits are counted at once, words whose hashes a task remembers.
-AT_ONCE, MEMO_WORDS = 100_000, 400_000
+AT_ONCE, MEMO_WORDS = 100_000, 150_000
 
 
 class Shingles:
@@ -150,71 +150,65 @@ def united(known: np.ndarray, size: np.ndarray, w: np.ndarray, sets: list[np.nda
 
 
 def compared(dealt: DataFrame, similarity: float) -> DataFrame:
-    """Links ``u``, ``v`` within each group ``g`` of ``dealt`` (g, row, known, size, w and perhaps shingles): one a row at most."""
+    """Links ``u``, ``v`` of each group ``g`` within each part ``k`` of ``dealt`` (k, g, row, known, size, w and perhaps shingles): one a row at most."""
     exact = "shingles" in dealt.columns
-    columns = ["g", "row", "known", "size", "w", *(["shingles"] if exact else [])]
+    columns = ["k", "g", "row", "known", "size", "w", *(["shingles"] if exact else [])]
 
     def links(held: list[tuple]) -> pa.RecordBatch:
-        row, known, size = (np.array([x[k] for x in held], np.int64) for k in range(3))
-        w = np.frombuffer(b"".join(x[3] for x in held), np.uint64).reshape(-1, WHOLE)
-        roots = united(known, size, w, [np.frombuffer(x[4], np.uint32) for x in held] if exact else None, similarity)
+        row, known, size = (np.array([x[k] for x in held], np.int64) for k in (1, 2, 3))
+        w = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(-1, WHOLE)
+        roots = united(known, size, w, [np.frombuffer(x[5], np.uint32) for x in held] if exact else None, similarity)
         moved = np.flatnonzero(roots != np.arange(len(roots)))
-        return pa.RecordBatch.from_pydict({"u": row[moved], "v": row[roots[moved]]})
+        return pa.RecordBatch.from_pydict({"g": np.full(len(moved), held[0][0], np.int64), "u": row[moved], "v": row[roots[moved]]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        part, held = None, []
         for batch in slices(batches):
-            for g, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group:
+            for k, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != part:
                     if len(held) > 1:
                         yield links(held)
-                    group, held = g, []
+                    part, held = k, []
                 held.append(rest)
         if len(held) > 1:
             yield links(held)
 
-    return dealt.select(columns).repartition("g").sortWithinPartitions("g", "row").mapInArrow(run, "u long, v long")
+    return dealt.select(columns).repartition("k").sortWithinPartitions("k", "row").mapInArrow(run, "g long, u long, v long")
 
 
 def links_within(members: DataFrame, payload: DataFrame, similarity: float) -> DataFrame:
     """Links with the components of all pairs that share a group: ``members`` has ``g``, ``row`` and ``size``, ``payload`` what is compared, by row.
 
     A group within CHUNK_TEXTS and CHUNK_SHINGLES is compared at once. A larger one is split by hash into chunks, each compared in
-    itself; then one text of each component found, chunk by chunk again. What is still apart from the group's largest component
-    meets all texts of the group: it alone goes to every chunk. So in a huge group of near copies a text is sent a few times,
-    and no pair is left out.
+    itself; then the first texts of what that connected, chunk by chunk again. What is still apart from the group's largest
+    part meets all texts of the group: it alone goes to every chunk. So in a huge group of near copies a text is sent a few
+    times, and no pair is left out.
     """
-    sizes = members.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-    chunks = lambda n, total: F.greatest(F.ceil(n / CHUNK_TEXTS), F.ceil(total / CHUNK_SHINGLES)).cast("int")
+    counts = [F.count("*").alias("n"), F.sum("size").alias("total")]
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("total") / CHUNK_SHINGLES)).cast("int")
     part = lambda m: F.pmod(F.xxhash64("row"), m).cast("int")
-    held = table(members.join(sizes.select("g", chunks(F.col("n"), F.col("total")).alias("m")), "g").withColumn("c", part(F.col("m"))), "members")
-    with_payload = lambda df: compared(df.join(payload.hint("merge"), "row"), similarity)
-    found = table(with_payload(held.select(F.xxhash64("g", "c").alias("g"), "row", "size", F.col("row").alias("known"))), "links")
+    with_payload = lambda df: table(compared(df.join(payload.hint("merge"), "row"), similarity), "links")
+    held = table(members.join(members.groupBy("g").agg(*counts).where("n > 1").select("g", chunks.alias("m")), "g").withColumn("c", part(F.col("m"))), "members")
+    first = with_payload(held.select(F.xxhash64("g", "c").alias("k"), "g", "row", "size", F.col("row").alias("known")))
     large = held.where("m > 1")
     if large.isEmpty():
-        return found
-
-    def placed(links: DataFrame) -> DataFrame:
-        """Members of large groups with the component that links have put them in so far."""
-        of = connected_components(links)
-        return large.join(of, large["row"] == of["node"], "left").select(large["*"], F.coalesce("component", large["row"]).alias("known"))
-
-    so_far = placed(found)
-    heads = so_far.where("row = known")
-    more = heads.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("g", chunks(F.col("n"), F.col("total")).alias("k"))
-    heads = heads.join(more, "g").select(F.xxhash64("g", part(F.col("k")), F.lit(1)).alias("g"), "row", "size", "known")
-    found = table(found.unionAll(with_payload(heads)), "links")
-
-    so_far = table(placed(found), "members")
-    numbers = so_far.groupBy("g", "known").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    largest = numbers.groupBy("g").agg(F.max_by("known", F.struct("n", "known")).alias("most"))
-    apart = so_far.join(largest, "g").where("known <> most").drop("most")
-    left = apart.groupBy("g").agg(F.count("*").alias("n"), F.sum("size").alias("total")).select("g", chunks(F.col("n"), F.col("total")).alias("k"))
+        return first.select("u", "v")
+
+    rooted = lambda rows, links: rows.join(links.select("g", F.col("u").alias("known"), F.col("v").alias("__v")), ["g", "known"], "left").withColumn("known", F.coalesce("__v", "known")).drop("__v")
+    placed = rooted(large.withColumn("known", F.col("row")), first)
+    heads = placed.where("row = known")
+    more = heads.groupBy("g").agg(*counts).select("g", chunks.alias("j"))
+    second = with_payload(heads.join(more, "g").select(F.xxhash64("g", part(F.col("j")), F.lit(1)).alias("k"), "g", "row", "size", "known"))
+
+    placed = table(rooted(placed, second), "members")
+    largest = placed.groupBy("g", "known").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("known", F.struct("n", "known")).alias("most"))
+    apart = placed.join(largest, "g").where("known <> most").drop("most")
+    left = apart.groupBy("g").agg(*counts).select("g", chunks.alias("j"))
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    everyone = so_far.join(left, "g").withColumn("l", each(F.col("k"))).select("g", "c", "l", "row", "size", "known")
-    again = apart.join(left, "g").withColumn("l", part(F.col("k"))).withColumn("c", each(F.col("m"))).select("g", "c", "l", "row", "size", "known")
-    dealt = everyone.unionAll(again).distinct().select(F.xxhash64("g", "c", "l", F.lit(2)).alias("g"), "row", "size", "known")
-    return table(found.unionAll(with_payload(dealt)), "links")
+    everyone = placed.join(left, "g").withColumn("l", each(F.col("j"))).select("g", "c", "l", "row", "size", "known")
+    again = apart.join(left, "g").withColumn("l", part(F.col("j"))).withColumn("c", each(F.col("m"))).select("g", "c", "l", "row", "size", "known")
+    third = with_payload(everyone.unionAll(again).distinct().select(F.xxhash64("g", "c", "l", F.lit(2)).alias("k"), "g", "row", "size", "known"))
+    return first.unionAll(second).unionAll(third).select("u", "v")
 
 
 def shared_blocks(heads: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def shared_blocks(heads: DataFrame) -> DataFrame:
     keys = heads.select("row", "size", F.explode("blocks").alias("g"))
     same = [F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("x2")]
     kept = keys.groupBy("g").agg(*same).where("n > 1").groupBy("n", "total", "x1", "x2").agg(F.min("g").alias("g"))
-    return keys.join(kept.select("g"), "g").select("g", "row", "size")
+    return keys.join(kept.select("g").hint("merge"), "g").select("g", "row", "size")
 
 
 def text_links(heads: DataFrame, rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -255,4 +255,4 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = numbered(docs)
     named = rows.select("row", F.col("doc").getField(id_col).alias("id"), F.col("doc").getField(text_col).alias("text"))
-    return rows.join(table(first_of_groups(named, similarity), "kept"), "row", "left_semi").select("doc.*")
+    return rows.join(table(first_of_groups(named, similarity), "kept").hint("merge"), "row", "left_semi").select("doc.*")

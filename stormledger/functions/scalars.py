@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Thresholds, weights, units, and the names that uploads may use.
 STATE_THRESHOLDS = (0.05, 0.15, 0.35)
 DEPENDENCY_THRESHOLDS = (0.35, 0.55, 0.75)
 UPLIFT = {"S0": 0.0, "S1": 0.10, "S2": 0.25, "S3": 0.45}
@@ -16,36 +16,72 @@ EARTH_RADIUS_KM = 6371.0088
 WIND_UNITS = {"m/s": 1.0, "kn": 0.514444, "km/h": 1 / 3.6}
 WIND_ALIASES = {"ms": "m/s", "mps": "m/s", "m/s": "m/s", "kt": "kn", "kts": "kn", "kn": "kn", "knots": "kn", "kmh": "km/h", "kph": "km/h", "km/h": "km/h"}
 CATEGORY_ALIASES = {
-    "habitation": ("habitation", "residential", "house", "housing"),
-    "ouvrage_eau": ("water", "water_network", "water_infra", "ouvrage_eau", "ouvrageeau"),
-    "ouvrage_electrique": ("electric", "electricity", "power", "ouvrage_electrique", "ouvrageelectrique"),
+    "habitation": "habitation",
+    "residential": "habitation",
+    "house": "habitation",
+    "housing": "habitation",
+    "water": "ouvrage_eau",
+    "water_network": "ouvrage_eau",
+    "water_infra": "ouvrage_eau",
+    "ouvrage_eau": "ouvrage_eau",
+    "ouvrageeau": "ouvrage_eau",
+    "electric": "ouvrage_electrique",
+    "electricity": "ouvrage_electrique",
+    "power": "ouvrage_electrique",
+    "ouvrage_electrique": "ouvrage_electrique",
+    "ouvrageelectrique": "ouvrage_electrique",
 }
 ASSET_ALIASES = {
-    "habitation": ("habitation", "house", "housing"),
-    "eau_aep_cana": ("eau_aep", "eau_aep_cana"),
-    "eau_eu_cana": ("eau_eu", "eau_eu_cana"),
-    "elec_bt_aerien": ("elec_bt_aerien",),
-    "elec_bt_souterrain": ("elec_bt_souterrain",),
-    "elec_hta_aerien": ("elec_hta_aerien",),
-    "elec_hta_souterrain": ("elec_hta_souterrain",),
-    "eau_eu_pr": ("eau_eu_pr",),
-    "eau_eu_step": ("eau_eu_step",),
-    "eau_aep_ouvrage_trait": ("aep_ouvrage_trait", "eau_aep_ouvrage_trait"),
-    "eau_aep_ouvrage_stpmp": ("aep_ouvrage_stpmp", "eau_aep_ouvrage_stpmp"),
-    "eau_aep_ouvrage_cap": ("aep_ouvrage_cap", "eau_aep_ouvrage_cap"),
-    "eau_aep_ouvrage_cuv": ("aep_ouvrage_cuv", "eau_aep_ouvrage_cuv"),
-    "eau_aep_ouvrage_na": ("aep_ouvrage_autres", "eau_aep_ouvrage_na"),
+    "habitation": "habitation",
+    "house": "habitation",
+    "housing": "habitation",
+    "eau_aep": "eau_aep_cana",
+    "eau_aep_cana": "eau_aep_cana",
+    "eau_eu": "eau_eu_cana",
+    "eau_eu_cana": "eau_eu_cana",
+    "elec_bt_aerien": "elec_bt_aerien",
+    "elec_bt_souterrain": "elec_bt_souterrain",
+    "elec_hta_aerien": "elec_hta_aerien",
+    "elec_hta_souterrain": "elec_hta_souterrain",
+    "eau_eu_pr": "eau_eu_pr",
+    "eau_eu_step": "eau_eu_step",
+    "aep_ouvrage_trait": "eau_aep_ouvrage_trait",
+    "eau_aep_ouvrage_trait": "eau_aep_ouvrage_trait",
+    "aep_ouvrage_stpmp": "eau_aep_ouvrage_stpmp",
+    "eau_aep_ouvrage_stpmp": "eau_aep_ouvrage_stpmp",
+    "aep_ouvrage_cap": "eau_aep_ouvrage_cap",
+    "eau_aep_ouvrage_cap": "eau_aep_ouvrage_cap",
+    "aep_ouvrage_cuv": "eau_aep_ouvrage_cuv",
+    "eau_aep_ouvrage_cuv": "eau_aep_ouvrage_cuv",
+    "aep_ouvrage_autres": "eau_aep_ouvrage_na",
+    "eau_aep_ouvrage_na": "eau_aep_ouvrage_na",
+}
+DISTANCE_ALIASES = {
+    "km": "km",
+    "kilometer": "km",
+    "kilometers": "km",
+    "kilometre": "km",
+    "kilometres": "km",
+    "nm": "nm",
+    "nmi": "nm",
+    "nautical_mile": "nm",
+    "nautical_miles": "nm",
+    "m": "m",
+    "meter": "m",
+    "meters": "m",
+    "metre": "m",
+    "metres": "m",
 }
 
 
 def token(value: Column) -> Column:
-    """Trimmed, lower case, blanks and hyphens as underscores; null is the empty token."""
-    return F.translate(F.lower(F.trim(F.coalesce(value, F.lit("")))), " -", "__")
+    """Trimmed of white space of any kind, lower case, blanks and hyphens as underscores; null is the empty token."""
+    return F.translate(F.lower(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)^\s+|\s+$", "")), " -", "__")
 
 
-def alias(value: Column, aliases: dict[str, tuple[str, ...]], default: Column | None = None) -> Column:
+def alias(value: Column, aliases: dict[str, str], default: Column | None = None) -> Column:
     """The canonical name of a token; ``default`` (null if not given) where no alias matches."""
-    pairs = [F.lit(x) for name, names in aliases.items() for a in names for x in (a, name)]
+    pairs = [F.lit(x) for entry in aliases.items() for x in entry]
     return F.coalesce(F.element_at(F.create_map(*pairs), token(value)), F.lit(None).cast("string") if default is None else default)
 
 
@@ -80,15 +116,22 @@ def checked_number(value: Column) -> Column:
     return finite(value.try_cast("double"))
 
 
+def _unit(name: str | None, aliases: dict[str, str], default: str) -> str:
+    known = aliases.get((name or default).strip().lower())
+    if known is None:
+        raise ValueError(f"{name}: give one of {', '.join(sorted(set(aliases.values())))}")
+    return known
+
+
 def wind_mps(value: Column, unit: str) -> Column:
     """Wind speed in m/s from m/s, knots or km/h (or their aliases)."""
-    name = WIND_ALIASES[unit.strip().lower()]
+    name = _unit(unit, WIND_ALIASES, "m/s")
     return value / 3.6 if name == "km/h" else value * WIND_UNITS[name]
 
 
 def radius_nm(value: Column, unit: str) -> Column:
-    """A distance in nautical miles from km, nm or m."""
-    return {"km": value / 1.852, "nm": value * 1.0, "m": value / 1852.0}[unit]
+    """A distance in nautical miles from km, nm or m (or their aliases)."""
+    return {"km": value / 1.852, "nm": value * 1.0, "m": value / 1852.0}[_unit(unit, DISTANCE_ALIASES, "km")]
 
 
 def wrap_longitude(lon: Column) -> Column:

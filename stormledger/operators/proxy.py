@@ -60,12 +60,25 @@ def proxy_losses(points: DataFrame, cells: DataFrame, curves: DataFrame, lat_min
     return rows.groupBy("hazard", "scenario").agg(money_sum(F.col("value") * F.coalesce("damage", F.lit(0.0))).alias("loss"), F.count("*").alias("n"))
 
 
-def scenario_ratios(rows: DataFrame) -> DataFrame:
-    """Wind, rain and surge shares of each (hazard, scenario) from ``component``, ``loss``; all to wind where nothing is lost."""
-    sums = rows.groupBy("hazard", "scenario").agg(*[money_sum(F.when(F.col("component") == c, F.greatest(F.lit(0.0), "loss")).otherwise(0.0)).alias(c) for c in ("wind", "rain", "surge")])
+#: Scenarios whose missing surge may be taken from a map.
+FROM_MAP = ("rp50", "rp100", "event_max")
+
+
+def scenario_ratios(rows: DataFrame, map_surge: DataFrame | None = None) -> DataFrame:
+    """Wind, rain and surge shares and the multiplier of each (hazard, scenario) from ``component`` (``combined`` among them) and ``loss``.
+
+    The multiplier is the combined loss, capped as it is, to wind's: 0 at least, 1 without wind. Where surge has no share in a scenario of
+    FROM_MAP, ``map_surge`` (``hazard``, ``scenario``, ``loss``) stands for it if it's positive. All is wind where nothing is lost.
+    """
+    loss = F.greatest(F.lit(0.0), "loss")
+    sums = rows.groupBy("hazard", "scenario").agg(*[money_sum(F.when(F.col("component") == c, loss).otherwise(0.0)).alias(c) for c in ("wind", "rain", "surge")], money_sum(F.when(F.col("component") == "combined", F.col("loss")).otherwise(0.0)).alias("combined"))
+    if map_surge is not None:
+        sums = sums.join(map_surge.select("hazard", "scenario", F.col("loss").alias("__map")), ["hazard", "scenario"], "left")
+        sums = sums.withColumn("surge", F.when((F.col("surge") <= 0) & F.col("scenario").isin(*FROM_MAP) & (F.col("__map") > 0), F.col("__map")).otherwise(F.col("surge")))
     total = F.col("wind") + F.col("rain") + F.col("surge")
     ratio = lambda c: F.when(total > 0, F.col(c) / total).otherwise(1.0 if c == "wind" else 0.0)
-    return sums.select("hazard", "scenario", *[F.round(ratio(c), 6).alias(f"{c}_ratio") for c in ("wind", "rain", "surge")], F.round(F.when(F.col("wind") > 0, F.greatest(F.lit(1.0), total / F.col("wind"))).otherwise(1.0), 6).alias("multiplier"))
+    multiplier = F.when(F.col("wind") > 0, F.greatest(F.lit(0.0), F.col("combined") / F.col("wind"))).otherwise(1.0)
+    return sums.select("hazard", "scenario", *[F.round(ratio(c), 6).alias(f"{c}_ratio") for c in ("wind", "rain", "surge")], F.round(multiplier, 6).alias("multiplier"))
 
 
 def block_rank(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, scalars as S
 from ..functions import curves as C
-from ..operators import casestudy as case
+from ..operators import casestudy as case, proxy
 from ..operators import grid, hazard, impact, interdependency as dep, metrics, sampling, shares, tracks
 from ..sources import exposures, sinks, storms
 from ..streaming import losses as stream
@@ -336,10 +336,13 @@ def flood_curve_catalogue(spark, d):
 
 @query
 def curve_interpolation(spark, d):
-    curves = C.as_arrays(C.number_curves(_flood_points(spark, d)).where("surge_id = 4100"), "surge_id", "depth_m", "mdd")
-    rows = A.losses(spark, d).select("point_id", "value", (F.col("wind") / 6.0 - 1.0).alias("depth"))
-    damaged = rows.crossJoin(F.broadcast(curves)).withColumn("loss", F.col("value") * C.interpolate(F.col("curve"), F.col("depth")))
-    return damaged.groupBy("point_id").agg(impact.money_sum(F.col("loss")).alias("loss"))
+    """Losses by point, each line item through its part's own curve; parts whose curve isn't known lose nothing."""
+    curves = C.number_curves(_flood_points(spark, d)).select("code", "depth_m", "mdd")
+    code = F.concat(F.lit("F"), F.col("p_size") % 20, F.lit("."), F.length("p_type") % 3).alias("code")
+    parts = A.table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), code)
+    rows = A.losses(spark, d).select("point_id", "part_id", "value", (F.col("wind") / 6.0 - 1.0).alias("depth")).join(parts, "part_id")
+    damaged = proxy.through_curves(rows, curves, "code", "depth", "depth_m", "mdd")
+    return damaged.groupBy("point_id").agg(impact.money_sum(F.col("value") * F.coalesce("damage", F.lit(0.0))).alias("loss"))
 
 
 # Tracks and basins

@@ -206,8 +206,9 @@ ORACLES: dict[str, str] = {
     "frequency_curves": f"with {SUPPLIERS} select point_id, rp as return_period, round(value * 0.12::double / sqrt(rp::double) * (1 + 30::double / 100 * 0.35::double), 2) as loss from s cross join (values (2), (5), (10), (20), (50), (100), (200), (250), (500), (750), (1000)) v(rp)",
     "track_id_digest": "with r as (select event_type, list_sort(list(distinct user_id::varchar)) as ids from events group by 1) select event_type, sha256(array_to_string(ids, chr(10))) as digest, len(ids)::int as n from r",
     "flood_curve_catalogue": f"with {FLOOD} select * from f",
-    "curve_interpolation": f"""with {LOSSES}, {FLOOD}, k as (select depth_m as x0, mdd as y0, lead(depth_m) over (order by depth_m) as x1, lead(mdd) over (order by depth_m) as y1, min(depth_m) over () as lo, max(depth_m) over () as hi from f where surge_id = 4100),
-        d as (select point_id, value, wind / 6::double - 1 as x from l), e as (select point_id, value * coalesce((select case when x1 is null then y0 else y0 + (y1 - y0) * (x - x0) / (x1 - x0) end from k where x >= x0 and (x < x1 or x1 is null)), 0::double) as loss from d)
+    "curve_interpolation": f"""with {LOSSES}, {FLOOD}, k as (select code, depth_m as x0, mdd as y0, lead(depth_m) over (partition by code order by depth_m) as x1, lead(mdd) over (partition by code order by depth_m) as y1 from f),
+        d as (select point_id, value, wind / 6::double - 1 as x, 'F' || (p_size % 20) || '.' || (length(p_type) % 3) as code from l join part on p_partkey = part_id),
+        e as (select point_id, value * coalesce(case when x1 is null then y0 else y0 + (y1 - y0) / (x1 - x0) * (x - x0) end, 0::double) as loss from d left join k on k.code = d.code and x >= x0 and (x < x1 or x1 is null))
         select point_id, {_money('loss')} as loss from e group by 1""",
     "basin_membership": f"select 1 as basin_id where exists (select 1 from customer where {_lat('c_custkey')} between 5 and 60) union all select 3 where exists (select 1 from customer where {_lat('c_custkey')} between 14 and 15 and {_lon('c_custkey')} between -63 and -62)",
     "outside_coverage": f"""with r as (select c_custkey as id, {_lat('c_custkey')} as lat, {_lon('c_custkey')} as lon from customer)

@@ -156,15 +156,22 @@ def surge_proxy_losses(spark, d):
     return out.select("hazard", "scenario", F.round("loss", 4).alias("loss"), "n")
 
 
-@study(f"""with {LOSSES}, r as (select case when point_id % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard, s as scenario, point_id % 10 = 9 as dry, loss * f as wind, value * rain * f as rain, value * surge * f as surge from l cross join (values ('annual', 0.001::double), ('rp50', 0.5::double), ('rp100', 0.8::double)) v(s, f)),
-    g as (select hazard, scenario, {_money("case when scenario = 'annual' or not dry then wind else 0 end")} as w, {_money('rain')} as r, {_money('surge')} as s from r group by 1, 2)
-    select hazard, scenario, round(case when w + r + s > 0 then w / (w + r + s) else 1 end, 6) as wind_ratio, round(case when w + r + s > 0 then r / (w + r + s) else 0 end, 6) as rain_ratio, round(case when w + r + s > 0 then s / (w + r + s) else 0 end, 6) as surge_ratio, round(case when w > 0 then greatest(1::double, (w + r + s) / w) else 1 end, 6) as multiplier from g""")
+@study(f"""with {LOSSES}, v as (select * from (values ('annual', 0.001::double), ('rp50', 0.5::double), ('rp100', 0.8::double)) v(s, f)),
+    r as (select case when point_id % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard, s as scenario, value, case when s = 'annual' or point_id % 10 <> 9 then loss * f else 0 end as wind, value * rain * f as rain, case when s = 'rp50' then 0 else value * surge * f end as surge from l cross join v),
+    g as (select hazard, scenario, {_money('wind')} as w, {_money('rain')} as r, {_money('surge')} as s0, {_money('least(value, wind + rain + surge)')} as c from r group by 1, 2),
+    m as (select case when s_suppkey % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard, {_money('s_acctbal')} as loss from supplier group by 1),
+    h as (select g.*, case when s0 <= 0 and scenario <> 'annual' and m.loss > 0 then m.loss else s0 end as s from g left join m on m.hazard = g.hazard)
+    select hazard, scenario, round(case when w + r + s > 0 then w / (w + r + s) else 1 end, 6) as wind_ratio, round(case when w + r + s > 0 then r / (w + r + s) else 0 end, 6) as rain_ratio, round(case when w + r + s > 0 then s / (w + r + s) else 0 end, 6) as surge_ratio, round(case when w > 0 then greatest(0::double, c / w) else 1 end, 6) as multiplier from h""")
 def scenario_ratios(spark, d):
+    """Shares and multipliers of all line items in three scenarios; one lacks surge, which a map of all suppliers gives."""
     rows = A.losses(spark, d).withColumn("hazard", F.when(F.col("point_id") % 2 == 0, "storm").otherwise("storm_cmcc"))
     rows = rows.withColumn("v", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(f).alias("f")) for s, f in (("annual", 0.001), ("rp50", 0.5), ("rp100", 0.8))])))
     wind = F.when((F.col("v.s") == "annual") | (F.col("point_id") % 10 != 9), F.col("loss") * F.col("v.f")).otherwise(0.0)
-    parts = F.array(*[F.struct(F.lit(c).alias("component"), x.alias("loss")) for c, x in (("wind", wind), ("rain", F.col("value") * F.col("rain") * F.col("v.f")), ("surge", F.col("value") * F.col("surge") * F.col("v.f")))])
-    return proxy.scenario_ratios(rows.select("hazard", F.col("v.s").alias("scenario"), F.inline(parts)))
+    rain, surge = F.col("value") * F.col("rain") * F.col("v.f"), F.when(F.col("v.s") == "rp50", 0.0).otherwise(F.col("value") * F.col("surge") * F.col("v.f"))
+    parts = F.array(*[F.struct(F.lit(c).alias("component"), x.alias("loss")) for c, x in (("wind", wind), ("rain", rain), ("surge", surge), ("combined", F.least("value", wind + rain + surge)))])
+    known = A.table(spark, d, "supplier").groupBy(F.when(F.col("s_suppkey") % 2 == 0, "storm").otherwise("storm_cmcc").alias("hazard")).agg(impact.money_sum(F.col("s_acctbal")).alias("loss"))
+    known = known.withColumn("scenario", F.explode(F.array(*[F.lit(s) for s in proxy.SCENARIOS])))
+    return proxy.scenario_ratios(rows.select("hazard", F.col("v.s").alias("scenario"), F.inline(parts)), known)
 
 
 def _class_rows(spark, d):

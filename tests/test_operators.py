@@ -188,3 +188,18 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_grid_of_one_cell(spark):
     r = grid.regular_grid(spark, 0.0, 0.1, 0.0, 0.1, 0.5).collect()
     assert len(r) == 1 and math.isclose(r[0].lat, 0.05)
+
+
+def test_tokens_and_units(spark):
+    row = one(spark, a=S.token(F.lit("\t Eau-AEP cana\n")), b=S.category(F.lit(" Power\r\n")), c=S.asset_type(F.lit("nothing known"), strict=True), d=S.radius_nm(F.lit(1852.0), " Metres "), e=S.radius_nm(F.lit(1.852), "kilometre"), f=S.token(F.lit(None).cast("string")))
+    assert row.asDict() == {"a": "eau_aep_cana", "b": "ouvrage_electrique", "c": None, "d": 1.0, "e": 1.0, "f": ""}
+    for call in (lambda: S.radius_nm(F.lit(1.0), "miles"), lambda: S.wind_mps(F.lit(1.0), "mph")):
+        with pytest.raises(ValueError, match="give one of"):
+            call()
+
+
+def test_multipliers_and_surge_from_a_map(spark):
+    rows = [("storm", "rp50", "wind", 10.0), ("storm", "rp50", "rain", 6.0), ("storm", "rp50", "combined", 8.0), ("storm", "annual", "rain", 6.0), ("storm", "annual", "combined", 6.0), ("storm", "top5", "wind", 5.0), ("storm", "top5", "combined", -1.0)]
+    known = spark.createDataFrame([("storm", s, 4.0) for s in ("rp50", "annual", "top5")], "hazard string, scenario string, loss double")
+    got = {x.scenario: tuple(x)[2:] for x in proxy.scenario_ratios(spark.createDataFrame(rows, "hazard string, scenario string, component string, loss double"), known).collect()}
+    assert got == {"rp50": (0.5, 0.3, 0.2, 0.8), "annual": (0.0, 1.0, 0.0, 1.0), "top5": (1.0, 0.0, 0.0, 0.0)}

@@ -14,6 +14,8 @@ from .studies import _IDS, ASSETS, _case, assets, study
 #: How many parts share a centroid, by component; what an intensity is made of.
 SHARED = {"wind": 2, "rain": 4, "surge": 3}
 INTENSITY = {"wind": ("l_quantity", 1.5), "rain": ("l_discount", 100_000.0), "surge": ("l_tax", 60.0)}
+#: A prime, so that annual losses don't end on a half of the last digit that sums keep.
+YEARS = 9973
 WIDTH = {"wind": 5.0, "rain": 1000.0, "surge": 0.5}
 
 
@@ -36,7 +38,7 @@ def components(spark, d):
     for c, (column, times) in INTENSITY.items():
         own = rows.where("hazard = 'storm'") if c == "surge" else rows
         hazard = own.groupBy("hazard", F.col("l_orderkey").alias("event_id"), F.floor(F.col("l_partkey") / SHARED[c]).cast("long").alias("centroid_id")).agg(F.max(F.col(column) * times).alias("intensity"))
-        out[c] = multihazard.Component(hazard.withColumn("frequency", A.frequency()), curves[c], f"{c}_at", f"{c}_id", WIDTH[c])
+        out[c] = multihazard.Component(hazard.withColumn("frequency", F.lit(1.0 / YEARS)), curves[c], f"{c}_at", f"{c}_id", WIDTH[c])
     return points, out
 
 
@@ -53,11 +55,11 @@ sg as (select *, lead(x) over (partition by c, id order by x) as x1, lead(y) ove
 pt as ({_POINTS}), hz as ({_HAZARD}),
 rt as (select hz.c, hazard, event_id, cen, id, case when x1 is null then y else y + (y1 - y) / (x1 - x) * (v - x) end as damage from hz join (select distinct c, id, cen from pt) using (c, cen) join sg using (c, id) where v >= x and (x1 is null or v < x1)),
 ls as (select c, hazard, event_id, point_id, value, value * damage as loss from rt join pt using (c, id, cen) where damage > 0),
-each as (select hazard, c, point_id, {_money('loss * 0.0001::double')} as eai, max(loss) as max_loss, max(value) as value from ls group by 1, 2, 3),
+each as (select hazard, c, point_id, {_money(f'loss * (1 / {YEARS}::double)')} as eai, max(loss) as max_loss, max(value) as value from ls group by 1, 2, 3),
 np as (select hazard, count(distinct c) as n from hz group by 1),
 bp as (select hazard, point_id, case when n > 1 then least(value, eai) else eai end as eai, case when n > 1 then least(value, max_loss) else max_loss end as max_loss from (select hazard, point_id, {_money('eai')} as eai, {_money('max_loss')} as max_loss, max(value) as value from each group by 1, 2) join np using (hazard)),
 cat as (select distinct hazard, c, event_id from hz)"""
-_SUMS = """re as (select hazard, c, event_id, sum(cast(loss as decimal(28,8)))::double as loss, cast(0.0001::double as decimal(38,18)) as f from (
+_SUMS = """re as (select hazard, c, event_id, sum(cast(loss as decimal(28,8)))::double as loss, cast(1 / 9973::double as decimal(38,18)) as f from (
     select hazard, c, event_id, loss from ls union all {combined} union all select hazard, c, event_id, 0 from cat union all select hazard, 'combined', event_id, 0 from cat) group by 1, 2, 3),
 d1 as (select *, sum(case when loss > 0 then f else 0 end) over (partition by hazard, c order by loss desc, event_id rows unbounded preceding) as cum, sum(f) over (partition by hazard, c order by loss, event_id rows unbounded preceding) as up, sum(f) over (partition by hazard, c) as total from re),
 vr as (select hazard, c, coalesce(min(case when up >= total * 0.95::decimal(3,2) then loss end), max(loss)) as var from d1 group by 1, 2),

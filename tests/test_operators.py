@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stormledger.functions import codecs
 from stormledger.functions import curves as C
 from stormledger.functions import scalars as S
-from stormledger.operators import grid, impact, metrics, sampling, shares, tracks
+from stormledger.operators import grid, impact, metrics, proxy, sampling, shares, tracks
 from stormledger.sources import exposures, sinks, storms
 from stormledger.streaming import losses as stream
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
-from ..operators import multihazard, production
+from ..operators import jobs, multihazard, production
 from . import adapters as A
 from .catalogue import _flood_points
 from .oracles import FLOOD, _mdd, _money
@@ -111,3 +111,20 @@ def multi_hazard_run(spark, d):
     kinds = F.when(F.col("asset_type").startswith("elec"), "elec_aerien").when(F.col("asset_type").contains("ouvrage"), "eau_ouvrage").otherwise("eau_reseau")
     done, _ = production.run_components(points.withColumn("infra_class", kinds).withColumn("asset_id", F.col("point_id")), parts)
     return done.territories.select("hazard", "territory", "exposure", "direct_eai")
+
+
+@study(f"""with h as (select case when l_orderkey % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard, l_orderkey as event_id, l_suppkey as c, max(l_quantity) as v from lineitem group by all),
+    s as (select s_suppkey as c, greatest(0::double, s_acctbal) as value from supplier), im as (select hazard, c, {_money(f"value * {_mdd('v')} * (1 / {YEARS}::double)")} as eai from h join s using (c) where value > 0 and {_mdd('v')} > 0 group by 1, 2)
+    select hazard, s.c::varchar as asset_id, round(cast(value as decimal(28,8)), 2)::double as exposure, round(cast(least(value, coalesce(eai, 0)) as decimal(28,8)), 2)::double as direct_eai from s cross join (select distinct hazard from h) left join im using (hazard, c)""")
+def job_assets(spark, d):
+    """The whole job over all suppliers as an upload and all line items as storms: results by asset, read from the document."""
+    k = F.col("s_suppkey")
+    supplier = A.table(spark, d, "supplier")
+    exposure = supplier.select(k.cast("string").alias("asset_id"), F.lit("habitation").alias("asset_type"), F.lit("habitation").alias("exposure_category"), F.col("s_acctbal").alias("value_eur"), A.lat(k).alias("lat"), A.lon(k).alias("lon"))
+    hazard = A.table(spark, d, "lineitem").groupBy(F.when(F.col("l_orderkey") % 2 == 0, "storm").otherwise("storm_cmcc").alias("hazard"), F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("centroid_id")).agg(F.max("l_quantity").alias("intensity"))
+    centroids = supplier.select(k.alias("centroid_id"), A.lat(k).alias("lat"), A.lon(k).alias("lon"))
+    curve = C.tabulate(spark).select(F.lit(C.DEFAULT_WIND_ID).alias("impf_id"), F.col("intensity").alias("x"), F.col("mdd").alias("y"))
+    wind = jobs.Source(hazard.withColumn("frequency", F.lit(1.0 / YEARS)), centroids, curve, WIDTH["wind"])
+    document = jobs.run_job(exposure, {"wind": wind}, C.number_curves(_flood_points(spark, d)), "run", "all suppliers", reach=0.004).document
+    field = lambda name, kind: F.get_json_object("json", f"$.{name}").cast(kind).alias(name)
+    return document.where("part = 'asset_results'").select(field("hazard", "string"), field("asset_id", "string"), field("exposure", "double"), field("direct_eai", "double"))

@@ -119,6 +119,7 @@ def features_table(features: DataFrame, value_field: str = "value_eur", default_
         F.coalesce(prop("asset_id"), prop("id"), (F.col("k") + 1).cast("string")).alias("asset_id"),
         F.coalesce(prop("label"), prop("name"), F.concat(F.lit("Feature "), F.col("k") + 1)).alias("label"),
         F.get_json_object("f", "$.geometry.type").alias("geometry_type"),
+        F.get_json_object("f", "$.geometry").alias("geometry"),
         S.asset_type(prop("asset_type")).alias("asset_type"),
         S.category(prop("exposure_category")).alias("exposure_category"),
         F.coalesce(S.checked_number(prop(value_field)), F.lit(default_value).cast("double")).alias("value_eur"),

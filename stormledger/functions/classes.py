@@ -90,3 +90,13 @@ def class_edges(low: Column, high: Column, classes: int = 5) -> Column:
     a, b = F.floor(low * 2) / 2, F.ceil(high * 2) / 2
     step = F.greatest(F.lit(0.5), F.ceil((b - a) / classes * 2) / 2)
     return F.transform(F.sequence(F.lit(0), F.lit(classes)), lambda k: a + k * step)
+
+
+def step_edges(low: Column, high: Column, step: Column) -> Column:
+    """Edges from the multiple of ``step`` below ``low`` to the one above ``high``, one step at least; what isn't finite gives way to 0 and to one step."""
+    size = F.greatest(F.lit(1e-6), F.coalesce(F.nullif(F.nanvl(step.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    finite = lambda x: F.when(F.abs(x.cast("double")) < float("inf"), x.cast("double"))
+    a = F.coalesce(F.floor(finite(low) / size) * size, F.lit(0.0))
+    b = F.coalesce(F.ceil(finite(high) / size) * size, a + size)
+    n = F.greatest(F.lit(1).cast("long"), F.floor((b - a + 1e-9) / size))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n), lambda k: F.round(a + k * size, 6))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import geometry, multihazard, oracles, records  # noqa: F401  (modules of queries register them)
+from .plans import geometry, journal, multihazard, oracles, records  # noqa: F401  (modules of queries register them)
 from .plans.catalogue import FLAGSHIP, QUERIES
 from .plans.studies import STUDIES
 

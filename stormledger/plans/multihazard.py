@@ -17,6 +17,8 @@ INTENSITY = {"wind": ("l_quantity", 1.5), "rain": ("l_discount", 100_000.0), "su
 #: A prime, so that annual losses don't end on a half of the last digit that sums keep.
 YEARS = 9973
 WIDTH = {"wind": 5.0, "rain": 1000.0, "surge": 0.5}
+#: Suppliers to a degree of latitude's hundredth, each at the next hundredth of longitude.
+PLACES = 6000
 
 
 def portfolio(spark, d):
@@ -119,10 +121,11 @@ def multi_hazard_run(spark, d):
 def job_assets(spark, d):
     """The whole job over all suppliers as an upload and all line items as storms: results by asset, read from the document."""
     k = F.col("s_suppkey")
+    lat, lon = -60.0 + F.floor(k / PLACES) / 100.0, -30.0 + k % PLACES / 100.0  # a place of its own, or an asset meets another's centroid
     supplier = A.table(spark, d, "supplier")
-    exposure = supplier.select(k.cast("string").alias("asset_id"), F.lit("habitation").alias("asset_type"), F.lit("habitation").alias("exposure_category"), F.col("s_acctbal").alias("value_eur"), A.lat(k).alias("lat"), A.lon(k).alias("lon"))
+    exposure = supplier.select(k.cast("string").alias("asset_id"), F.lit("habitation").alias("asset_type"), F.lit("habitation").alias("exposure_category"), F.col("s_acctbal").alias("value_eur"), lat.alias("lat"), lon.alias("lon"))
     hazard = A.table(spark, d, "lineitem").groupBy(F.when(F.col("l_orderkey") % 2 == 0, "storm").otherwise("storm_cmcc").alias("hazard"), F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("centroid_id")).agg(F.max("l_quantity").alias("intensity"))
-    centroids = supplier.select(k.alias("centroid_id"), A.lat(k).alias("lat"), A.lon(k).alias("lon"))
+    centroids = supplier.select(k.alias("centroid_id"), lat.alias("lat"), lon.alias("lon"))
     curve = C.tabulate(spark).select(F.lit(C.DEFAULT_WIND_ID).alias("impf_id"), F.col("intensity").alias("x"), F.col("mdd").alias("y"))
     wind = jobs.Source(hazard.withColumn("frequency", F.lit(1.0 / YEARS)), centroids, curve, WIDTH["wind"])
     document = jobs.run_job(exposure, {"wind": wind}, C.number_curves(_flood_points(spark, d)), "run", "all suppliers", reach=0.004).document

@@ -32,13 +32,18 @@ def _points(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return xy, np.append(0, np.cumsum(_sizes(lists)))
 
 
+def _packed(xy: np.ndarray, *sizes: np.ndarray | list[int]) -> pa.Array:
+    """Points that lie end to end as a column of nested arrays; ``sizes`` of the innermost ones first."""
+    out = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    for n in sizes:
+        out = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), out)
+    return out
+
+
 def _nested(points: list[np.ndarray], groups: list[int], depth: list[int] | None = None) -> pa.Array:
     """Arrays of points as a column: ``groups`` says how many arrays a value has (``depth``: how many of those values a row has)."""
     xy = np.concatenate(points) if points else np.zeros((0, 2))
-    flat = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
-    offsets = lambda n: pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-    out = pa.ListArray.from_arrays(offsets(groups), pa.ListArray.from_arrays(offsets([len(p) for p in points]), flat))
-    return out if depth is None else pa.ListArray.from_arrays(offsets(depth), out)
+    return _packed(xy, [len(p) for p in points], groups, *([] if depth is None else [depth]))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], column: str, levels: int) -> Iterator[pa.RecordBatch]:
@@ -120,45 +125,66 @@ def clip_lines(lines: DataFrame, box: Sequence[float], column: str = "paths") ->
     return _replaced(lines, column, 2, work).where(f"size(`{column}`) > 0")
 
 
-def clipped_ring(ring: np.ndarray, box: Sequence[float]) -> np.ndarray:
-    """The part of a ring inside a box, by cutting it at each side in turn; a concave ring's parts stay joined along the box. Closed; empty without area."""
-    ring = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
+def clipped_rings(xy: np.ndarray, starts: np.ndarray, box: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The parts inside a box of rings that lie end to end, and how many vertices each has, by cutting all of them at each side in turn.
+
+    A concave ring's parts stay joined along the box. Rings come closed; those without area have no vertex.
+    """
+    n_rings, sizes = len(starts) - 1, np.diff(starts)
+    ring = np.repeat(np.arange(n_rings), sizes)
+    long = np.flatnonzero(sizes > 1)
+    ends = starts[long + 1] - 1
+    open_ = np.ones(len(xy), bool)
+    open_[ends[(xy[starts[long]] == xy[ends]).all(axis=1)]] = False
+    xy, ring = xy[open_], ring[open_]
+
+    def kept(xy: np.ndarray, ring: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Vertices of the rings that ``which`` names, their rings, and where each ring's first and last ones are."""
+        xy, ring = xy[which[ring]], ring[which[ring]]
+        first = np.flatnonzero(np.append(True, ring[1:] != ring[:-1])) if len(ring) else np.zeros(0, np.int64)
+        return xy, ring, first, np.append(first[1:], len(ring))[: len(first)] - 1
+
+    areal = lambda: np.bincount(ring, minlength=n_rings) >= 3
     for axis, sign, bound in ((0, 1, box[0]), (1, 1, box[1]), (0, -1, box[2]), (1, -1, box[3])):
-        if len(ring) < 3:
-            break
-        after = np.roll(ring, -1, axis=0)
-        d, e = sign * (ring[:, axis] - bound), sign * (after[:, axis] - bound)
+        xy, ring, first, last = kept(xy, ring, areal())
+        after = np.roll(xy, -1, axis=0)
+        after[last] = xy[first]
+        d, e = sign * (xy[:, axis] - bound), sign * (after[:, axis] - bound)
         inside, crosses = d >= 0, (d >= 0) != (e >= 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            cut = ring + (d / (d - e))[:, None] * (after - ring)
+            cut = xy + (d / (d - e))[:, None] * (after - xy)
         cut[:, axis] = bound
-        out = np.stack([ring, cut], axis=1).reshape(-1, 2)
-        ring = out[np.stack([inside, crosses], axis=1).ravel()]
-    if len(ring) < 3 or area(ring) == 0:
-        return np.zeros((0, 2))
-    return np.vstack([ring, ring[:1]])
+        stays = np.stack([inside, crosses], axis=1).ravel()
+        xy, ring = np.stack([xy, cut], axis=1).reshape(-1, 2)[stays], np.repeat(ring, 2)[stays]
+    xy, ring, first, last = kept(xy, ring, areal())
+    full = np.zeros(n_rings, bool)
+    if len(first):
+        own = xy - np.repeat(xy[first], last - first + 1, axis=0)
+        after = np.roll(own, -1, axis=0)
+        after[last] = own[first]
+        size = np.abs(np.add.reduceat(own[:, 0] * after[:, 1] - after[:, 0] * own[:, 1], first))
+        full[ring[first]] = size > 0
+        for i in np.flatnonzero(~(size > 1e-9 * np.maximum.reduceat((own * own).sum(axis=1), first))):  # next to nothing: as a ring alone is judged
+            full[ring[first[i]]] = area(xy[first[i] : last[i] + 1]) != 0
+    xy, ring, first, last = kept(xy, ring, full)
+    return np.insert(xy, last + 1, xy[first], axis=0), np.bincount(ring, minlength=n_rings) + full
 
 
 def clip_polygons(areas: DataFrame, box: Sequence[float], column: str = "polygons") -> DataFrame:
-    """Polygons cut to a closed box, holes too. Polygons without area left go, then rows without polygons."""
+    """Polygons cut to a closed box, holes too. Polygons without area left go, then rows without polygons. A piece's rings are cut together."""
 
     def work(lists: pa.Array) -> pa.Array:
         xy, starts = _points(lists.flatten().flatten())
-        rings, n_rings, n_polygons, at = [], [], [], 0
-        sizes = iter(_sizes(lists.flatten()).tolist())
-        for n in _sizes(lists).tolist():
-            kept = 0
-            for _ in range(n):
-                k = next(sizes)
-                own = [clipped_ring(xy[starts[i] : starts[i + 1]], box) for i in range(at, at + k)]
-                at += k
-                if own and len(own[0]):
-                    own = [own[0], *(r for r in own[1:] if len(r))]
-                    rings += own
-                    n_rings.append(len(own))
-                    kept += 1
-            n_polygons.append(kept)
-        return _nested(rings, n_rings, n_polygons)
+        xy, sizes = clipped_rings(xy, starts, box)
+        rings, polygons = _sizes(lists.flatten()), _sizes(lists)
+        outer = np.append(0, np.cumsum(rings))[:-1]
+        stays = np.zeros(len(rings), bool)
+        stays[rings > 0] = sizes[outer[rings > 0]] > 0  # by its outer ring
+        mine = np.repeat(np.arange(len(rings)), rings)
+        there = (sizes > 0) & stays[mine]
+        n_rings = np.bincount(mine[there], minlength=len(rings))[stays]
+        n_polygons = np.bincount(np.repeat(np.arange(len(polygons)), polygons)[stays], minlength=len(polygons))
+        return _packed(xy[np.repeat(there, sizes)], sizes[there], n_rings, n_polygons)
 
     return _replaced(areas, column, 3, work).where(f"size(`{column}`) > 0")
 

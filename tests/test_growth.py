@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stormledger import registry
+from stormledger.operators import geometry, hazard, impact
 
 from .compare import assert_same, connect
 from .conftest import SF
@@ -52,3 +55,38 @@ def joined(spark, df) -> int:
 def test_each_supplier_meets_its_own_centroid(spark, repeated):
     d = repeated({"supplier": ["s_suppkey"], "lineitem": ["l_suppkey", "l_orderkey"]}, 2, AGAIN - 6)  # others than copies share places
     assert_same(registry.QUERIES["job_assets"](spark, d), connect(d).sql(registry.ORACLES["job_assets"]))
+
+
+def test_wind_is_told_once_for_a_place(spark):
+    tracks = spark.range(20).selectExpr("id as track_id", "15.0 + id / 100 as lat", "-61.0 as lon", "950.0 as p_c", "30.0 as rmax_km")
+    centroids = spark.range(4000).selectExpr("id as centroid_id", "15.0 + id % 4 / 100 as lat", "-61.1 as lon")
+    winds = hazard.wind_field(tracks, centroids, 0.5)
+    assert winds.where("track_id = 3").groupBy("intensity").count().count() == 4 and winds.count() == 80_000
+    assert joined(spark, winds) <= 20 * 4 + 80_000
+
+
+def test_places_meet_places(spark):
+    points = spark.range(3000).selectExpr("id as point_id", "15.0 + id % 5 / 100 as lat", "-61.0 as lon")
+    centroids = spark.range(3000).selectExpr("id as centroid_id", "15.0 + id % 3 / 100 as lat", "-61.0 as lon")
+    found = impact.assign_centroids(points.union(spark.sql("select -1L, null, 3.0")), centroids, 0.5, 0.015)
+    assert {(x.point_id % 5, x.centroid_id) for x in found.collect() if x.point_id >= 0} == {(0, 0), (1, 1), (2, 2), (3, 2), (4, None)}
+    assert joined(spark, found) < 10_000
+
+
+def test_events_meet_centroids_not_points(spark):
+    points = spark.range(2000).selectExpr("id as point_id", "concat('a', id) as asset_id", "'t' as territory", "'habitation' as infra_class", "cast(id % 10 - 1 as double) as value", "15.0 as lat", "-61.0 as lon", "7L as centroid_id")
+    storms = spark.range(3000).selectExpr("'h' as hazard", "id as event_id", "7L as centroid_id", "cast(id % 4 as double) as intensity", "0.001 as frequency")
+    rows = impact.impact_rows(storms, points.selectExpr("point_id", "centroid_id", "greatest(0.0, value) as value"), None, F.col("intensity") / 10)
+    events, each = impact.by_centroid(points.selectExpr("point_id", "centroid_id", "greatest(0.0, value) as value"), storms, F.col("intensity") / 10)
+    assert {tuple(x) for x in events.collect()} == {tuple(x) for x in impact.by_event(rows, ("hazard", "event_id")).collect()}
+    assert {tuple(x) for x in each.collect()} == {tuple(x) for x in impact.by_point(rows, ("hazard", "point_id")).collect()}
+    assert joined(spark, events) < 10_000 and joined(spark, each) < 10_000
+
+
+def test_rings_are_cut_together():
+    r = np.random.default_rng(4)
+    rings = [np.round(r.uniform(-3, 13, (n, 2))) for n in r.integers(0, 9, 400)]
+    box, starts = (0.0, 0.0, 10.0, 6.0), np.append(0, np.cumsum([len(x) for x in rings]))
+    xy, sizes = geometry.clipped_rings(np.concatenate(rings), starts, box)
+    alone = [geometry.clipped_rings(x, np.array([0, len(x)]), box)[0] for x in rings]
+    assert [len(x) for x in alone] == sizes.tolist() and np.array_equal(np.concatenate(alone), xy) and (sizes > 0).sum() > 100

@@ -29,7 +29,7 @@ def _index(axis: Column, size: float) -> Column:
 def nearest(asked: DataFrame, known: DataFrame, axes: Sequence[str], size: float, extent: float, group: Sequence[str] = (), rank: Column | None = None) -> DataFrame:
     """``ask`` and the nearest ``other`` of its group with its squared distance ``d2``; no row where the group has none.
 
-    ``asked`` has ``ask`` (unique), ``known`` has ``other``; both have the axes, which all lie within ``extent``, and the group. ``size`` is a cell's
+    ``asked`` has ``ask`` (once for each group that it is looked for in), ``known`` has ``other``; both have the axes, which all lie within ``extent``, and the group. ``size`` is a cell's
     side at the bottom. Ties go to the smaller ``other``; ``rank``, of columns of both (``__`` before known ones), is what is
     compared instead of the squared distance, which it must follow. Places with a null on an axis are left out.
     """

@@ -46,12 +46,11 @@ def risk(events: DataFrame, portfolio: DataFrame) -> DataFrame:
 
 def run(points: DataFrame, hazard: DataFrame, damage: Column) -> Run:
     """Points (``point_id``, ``asset_id``, ``territory``, ``infra_class``, ``value``, ``lat``, ``lon``, ``centroid_id``) in a hazard table (``hazard``, ``event_id``, ``centroid_id``,
-    ``intensity``, ``frequency``): losses by the damage expression, then everything that follows from them. Points without losses stay.
+    ``intensity``, ``frequency``): losses by the damage expression (of the hazard's columns), then everything that follows from them. Points without losses stay.
     """
-    points = points.withColumn("value", F.greatest(F.lit(0.0), "value"))
-    losses = impact.impact_rows(hazard, points.select("point_id", "centroid_id", "value"), None, damage)
-    events = impact.by_event(losses, ("hazard", "event_id"))
-    return completed(points, impact.by_point(losses, ("hazard", "point_id")), events, hazard.select("hazard").distinct())
+    points = settled(points.withColumn("value", F.greatest(F.lit(0.0), "value")))
+    events, each = impact.by_centroid(points, hazard, damage)
+    return completed(points, each, events, hazard.select("hazard").distinct())
 
 
 def run_components(points: DataFrame, components: Mapping[str, multihazard.Component], capped: bool = False) -> tuple[Run, DataFrame]:
@@ -65,9 +64,9 @@ def run_components(points: DataFrame, components: Mapping[str, multihazard.Compo
 def completed(points: DataFrame, each: DataFrame, events: DataFrame, hazards: DataFrame) -> Run:
     """From ``eai`` and ``max_loss`` by (``hazard``, ``point_id``) and losses by (``hazard``, ``event_id``) to a run's tables.
 
-    Event losses and results by territory are settled: each is read by several figures.
+    Hazards, event losses, impacts by point and results by territory are settled: each is read by several figures.
     """
-    events = settled(events)
+    events, each, hazards = settled(events), settled(each), settled(hazards)
     rows = points.crossJoin(F.broadcast(hazards)).join(each, ["hazard", "point_id"], "left").fillna(0.0, subset=["eai", "max_loss"])  # a row a hazard
     after = settled(propagated(rows))
     territories = settled(dep.territory_results(after))

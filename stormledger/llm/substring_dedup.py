@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator
 from itertools import combinations
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, slices, texts, tidy
 from .components import connected_components
 from .perfect_hash import mixed
 
@@ -245,7 +246,11 @@ def candidate_passages(found: DataFrame, agree: int = AGREE) -> DataFrame:
         rest = np.empty((0, 5), np.int64)
 
         def give(x: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero((x[1:, 3:] != x[:-1, 3:]).any(axis=1)) + 1
+            first = np.flatnonzero(np.append(True, (x[1:, 3:] != x[:-1, 3:]).any(axis=1)))
+            n = np.diff(np.append(first, len(x)))
+            enough = np.bitwise_count(np.bitwise_or.reduceat(1 << (x[:, 0] & 7), first)) >= agree  # most pairs share too few functions
+            x, n = x[np.repeat(enough, n)], n[enough]
+            cuts = np.cumsum(n)[:-1]
             out = [r for g in np.split(x, cuts) if len(g) for r in region(g, int(g[0, 3]), int(g[0, 4]))]
             kinds = [pa.int64(), pa.int32(), pa.int32()] * 2
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], [c.split()[0] for c in _PAIR.split(", ")])
@@ -314,6 +319,16 @@ def _up(name: str) -> Column:
     return (F.ceil(F.col(name) / GRID) * GRID).cast("int")
 
 
+def _stretches(places: list[int], gap: int) -> Iterator[list[int]]:
+    """Ascending places, cut where more than ``gap`` lies between two."""
+    at = 0
+    for i in range(1, len(places)):
+        if places[i] - places[i - 1] > gap:
+            yield places[at:i]
+            at = i
+    yield places[at:]
+
+
 def similar_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, reach: int = REACH) -> Iterator[tuple]:
     """Stretches of a that are similar to a stretch of b: (from, to in a, from, to in b, Jaccard), ends exclusive.
 
@@ -321,30 +336,41 @@ def similar_passages(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARIT
     shared and compared with what of b lies between its first and last shared shingle. One that isn't similar enough
     as a whole is cut at its longest gap, and its parts are compared.
     """
-    shared = np.flatnonzero(np.isin(a, b))
-    if not len(shared):
+    a, b = a.tolist(), b.tolist()
+    own, places = set(a), {}
+    for k, v in enumerate(b):
+        if v in own:
+            places.setdefault(v, []).append(k)
+    shared = [i for i, v in enumerate(a) if v in places]
+    if not shared or shared[-1] + 1 - shared[0] < reach:
         return
     gap = max(SHINGLE + 1, round(reach * (1 - similarity)) + 1)
-    todo = np.split(shared, np.flatnonzero(np.diff(shared) > gap) + 1)
+    todo, failed = list(_stretches(shared, gap)), None
     while todo:
         part = todo.pop()
-        i, j = int(part[0]), int(part[-1]) + 1
+        i, j = part[0], part[-1] + 1
         if j - i < reach:
             continue
-        there = np.flatnonzero(np.isin(b, a[i:j]))
+        x = set(a[i:j])
+        both = x & places.keys()
         found = False
-        for piece in np.split(there, np.flatnonzero(np.diff(there) > gap) + 1):
-            k, m = int(piece[0]), int(piece[-1]) + 1
+        # What it meets depends on its set alone, so the set that failed last fails again; one with too few shared members can't be similar.
+        hopeless = x == failed or len(both) / len(x) < similarity
+        for piece in [] if hopeless else _stretches(sorted(k for v in both for k in places[v]), gap):
+            k, m = piece[0], piece[-1] + 1
             if m - k >= reach:
-                x, y = np.unique(a[i:j]), np.unique(b[k:m])
-                common = len(np.intersect1d(x, y, assume_unique=True))
+                y = set(b[k:m])
+                common = len(x & y)
                 value = common / (len(x) + len(y) - common)
                 if value >= similarity:
                     found = True
                     yield i, j, k, m, value
-        if not found and len(part) > 1:
-            longest = int(np.argmax(np.diff(part)))
-            todo += [part[: longest + 1], part[longest + 1 :]]
+        if not found:
+            failed = x
+            if len(part) > 1:
+                gaps = list(map(sub, part[1:], part))
+                longest = gaps.index(max(gaps))
+                todo += [part[: longest + 1], part[longest + 1 :]]
 
 
 def unsettled(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -358,7 +384,7 @@ def unsettled(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFrame:
-    """Passages by the min-hashes of each ``agree`` functions: ``key``, ``tid``, and the first and last start ``lo``, ``hi``.
+    """Passages by the min-hashes of each ``agree`` functions: ``key``, ``tid``, and the first and last start ``lo``, ``hi``; ``leader``, ``leader_lo`` and ``leader_hi`` are those of the key's first text.
 
     Keys of one text alone are left out. Two passages that agree under ``agree`` functions or more share a key, whichever windows they lie in.
     """
@@ -414,7 +440,8 @@ def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFr
 
     rows = found.select("tid", "key", "spot").repartition("tid").sortWithinPartitions("tid").mapInArrow(run, "key long, tid long, lo int, hi int")
     over = Window.partitionBy("key")
-    return rows.withColumn("n", F.count("*").over(over)).where("n > 1").drop("n")
+    rows = rows.withColumns({"n": F.count("*").over(over), "l": F.min(F.struct("tid", "lo", "hi")).over(over)}).where("n > 1")
+    return rows.select("key", "tid", "lo", "hi", F.col("l.tid").alias("leader"), F.col("l.lo").alias("leader_lo"), F.col("l.hi").alias("leader_hi"))
 
 
 def _hulls(met: DataFrame) -> DataFrame:
@@ -430,10 +457,7 @@ def remaining_links(found: DataFrame, links: DataFrame, check) -> DataFrame:
     By each key of ``agreeing``, texts are checked against the first text; those that fail there, against all texts of the key.
     So no text is left with a failed partner only, and copies cost one check.
     """
-    rows = cut(agreeing(unsettled(found, links)))
-    first = rows.groupBy("key").agg(F.min(F.struct("tid", "lo", "hi")).alias("l"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("key", F.col("l.tid").alias("leader"), F.col("l.lo").alias("leader_lo"), F.col("l.hi").alias("leader_hi"))
-    met = cut(rows.join(first, "key"))
+    met = cut(agreeing(unsettled(found, links)))
     one = check(_hulls(met.where("tid <> leader")))
     good = one.select("tid", "leader", "start", "stop")
     failed = met.where("tid <> leader")
@@ -476,6 +500,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
+    with tidy(docs.sparkSession):
+        each, info = _told(known, key_of)
+    out = each.select("doc_id", "tid").join(info, "tid").drop("tid")
+    none = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit("").alias("spans"))
+    return out.unionAll(none)
+
+
+def _told(known: DataFrame, key_of) -> tuple[DataFrame, DataFrame]:
+    """Documents with their texts' keys, and what `repeated_passages` tells of each text."""
     found = cut(matches(windows(known)))
     each = cut(known.select("doc_id", key_of("text").alias("k")).select("doc_id", "k.tid", "k.n"))
     heads = cut(each.groupBy("tid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_copies"), F.max("n").alias("n")))
@@ -505,6 +538,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole = (F.col("n_copies") > 1) & (F.col("n") >= LEAST_WORDS)
     info = named.join(names, "c").join(exact, "tid", "left").join(grouped, "tid", "left")
     info = info.select("tid", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(whole, F.concat(F.lit("0-"), F.col("n"))).otherwise(F.coalesce("spans", F.lit(""))).alias("spans"))
-    out = each.select("doc_id", "tid").join(cut(info), "tid").drop("tid")
-    none = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit("").alias("spans"))
-    return out.unionAll(none)
+    return each, cut(info)

@@ -348,3 +348,56 @@ def test_queries_on_empty_tables(spark, tmp_path, name):
     for t in ("documents", "pages", "benchmark", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"file://{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, f"file://{tmp_path}").collect() == []
+
+
+def plain_passages(a, b, similarity=0.8, reach=46, gap=10):
+    """`similar_passages` by its rules, with plain sets and every stretch compared."""
+
+    def stretches(places):
+        out = [[places[0]]]
+        for p in places[1:]:
+            out.append([p]) if p - out[-1][-1] > gap else out[-1].append(p)
+        return out
+
+    out, todo = [], stretches(s) if (s := [i for i, x in enumerate(a) if x in set(b)]) else []
+    while todo:
+        part = todo.pop()
+        i, j = part[0], part[-1] + 1
+        if j - i < reach:
+            continue
+        x, found = set(a[i:j]), False
+        for piece in stretches([k for k, v in enumerate(b) if v in x]):
+            k, m = piece[0], piece[-1] + 1
+            value = len(x & set(b[k:m])) / len(x | set(b[k:m]))
+            if m - k >= reach and value >= similarity:
+                found = True
+                out.append((i, j, k, m, value))
+        if not found and len(part) > 1:
+            longest = max(range(len(part) - 1), key=lambda n: part[n + 1] - part[n])
+            todo += [part[: longest + 1], part[longest + 1 :]]
+    return out
+
+
+@pytest.mark.parametrize("words", [3, 40, 60, 100, 10_000])
+def test_similar_passages_like_plain_rules(words):
+    rng = np.random.default_rng(words)
+    for _ in range(40):
+        a, b = (rng.integers(0, words, n).astype(np.uint32) for n in rng.integers(1, 400, 2))
+        if len(a) > 60 and len(b) > 60 and rng.random() < 0.7:
+            n = int(rng.integers(50, min(len(a), len(b))))
+            b[:n] = np.where(rng.random(n) < rng.random() * 0.3, b[:n], a[-n:])
+        assert list(similar_passages(a, b)) == plain_passages(a.tolist(), b.tolist())
+
+
+def test_repeated_passages_leave_no_shuffle_files(spark):
+    """Disk holds what is cut, not each step's shuffle until the driver collects its garbage."""
+    kept = lambda: {str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    rng = random.Random(5)
+    same = prose(rng, 80)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 30)} {same} {prose(rng, 30)}") for i in range(12)], "doc_id long, text string")
+    before = kept()
+    out = repeated_passages(docs)
+    assert not kept() - before
+    rows = sorted(map(tuple, out.collect()))
+    assert {r[1] for r in rows} == {0} and sorted(map(tuple, out.collect())) == rows  # and the result may be read twice
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -42,12 +42,12 @@ def curve_segments(curves: DataFrame, key: str, x: str, y: str, width: float) ->
 def through_curves(rows: DataFrame, curves: DataFrame, key: str, value: str, x: str = "x", y: str = "y", width: float = 0.5) -> DataFrame:
     """``rows`` with ``damage``: each row's value on its own curve, 0 before the first point, the last value after the last.
 
-    Rows meet segments by curve and bin; a row beyond the curve is moved to its last point first.
+    Rows meet segments by curve and bin, which are few and broadcast; a row beyond the curve is moved to its last point first.
     """
     ends = curves.groupBy(key).agg(F.min(x).alias("__first"), F.max(x).alias("__last"))
-    asked = rows.join(ends, key, "left").withColumn("__x", F.least(value, "__last"))
+    asked = rows.join(F.broadcast(ends), key, "left").withColumn("__x", F.least(value, "__last"))
     segments = curve_segments(curves, key, x, y, width).withColumnRenamed("bin", "__bin")
-    met = asked.withColumn("__bin", F.floor(F.col("__x") / width).cast("long")).join(segments, [key, "__bin"], "left")
+    met = asked.withColumn("__bin", F.floor(F.col("__x") / width).cast("long")).join(F.broadcast(segments), [key, "__bin"], "left")
     inside = (F.col("__x") >= F.col("x0")) & (F.col("x1").isNull() | (F.col("__x") < F.col("x1")))
     met = met.where(inside | (F.col("__x") < F.col("__first")) & (F.col("x0").isNull() | (F.col("x0") == F.col("__first"))) | F.col("__x").isNull() | F.col("__first").isNull())
     damage = F.when(F.col("__x").isNull(), None).when(F.col("__x") < F.col("__first"), 0.0).otherwise(F.col("y0") + F.col("slope") * (F.col("__x") - F.col("x0")))

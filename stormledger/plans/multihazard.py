@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curves as C
+from ..lineage import settled
 from ..operators import jobs, multihazard, production
 from . import adapters as A
 from .catalogue import _flood_points
@@ -39,7 +40,9 @@ def components(spark, d):
     out = {}
     for c, (column, times) in INTENSITY.items():
         own = rows.where("hazard = 'storm'") if c == "surge" else rows
-        hazard = own.groupBy("hazard", F.col("l_orderkey").alias("event_id"), F.floor(F.col("l_partkey") / SHARED[c]).cast("long").alias("centroid_id")).agg(F.max(F.col(column) * times).alias("intensity"))
+        rows_at = own.select("hazard", F.col("l_orderkey").alias("event_id"), F.floor(F.col("l_partkey") / SHARED[c]).cast("long").alias("centroid_id"), (F.col(column) * times).alias("v"))
+        # Dealt out by centroid, so that neither its groups nor its points need another shuffle.
+        hazard = rows_at.repartition("centroid_id").groupBy("hazard", "event_id", "centroid_id").agg(F.max("v").alias("intensity"))
         out[c] = multihazard.Component(hazard.withColumn("frequency", F.lit(1.0 / YEARS)), curves[c], f"{c}_at", f"{c}_id", WIDTH[c])
     return points, out
 
@@ -92,15 +95,15 @@ def multi_hazard_risk_capped(spark, d):
 @study(f"with {MULTI} select hazard, point_id, round(eai, 9) as eai, round(max_loss, 9) as max_loss from bp")
 def multi_hazard_points(spark, d):
     points, parts = components(spark, d)
-    out = multihazard.by_point(multihazard.by_component(multihazard.loss_table(points, parts)), multihazard.catalogue(parts))
+    out = multihazard.by_point(settled(multihazard.by_component(multihazard.loss_rows(points, parts))))
     return out.select("hazard", "point_id", F.round("eai", 9).alias("eai"), F.round("max_loss", 9).alias("max_loss"))
 
 
 @study("""with h as (select distinct case when l_orderkey % 2 = 0 then 'storm' else 'storm_cmcc' end as hazard from lineitem) select hazard, case when hazard = 'storm' then 'wind,rain,surge' else 'wind,rain' end as components, false as no_impact from h""")
 def multi_hazard_model(spark, d):
     points, parts = components(spark, d)
-    events = multihazard.catalogue(parts)
-    out = multihazard.modelled(events, multihazard.by_event(multihazard.loss_table(points, parts), events))
+    events = settled(multihazard.by_event(multihazard.loss_rows(points, parts)))
+    out = multihazard.modelled(multihazard.catalogue(events), events)
     return out.select("hazard", F.array_join("components", ",").alias("components"), "no_impact")
 
 

@@ -33,6 +33,8 @@ HEADER = struct.Struct("<8sIQQQ")
 SLOT = np.dtype([("fingerprint", "<u4"), ("at", "<u8"), ("n", "<u8")])
 #: Words whose ids a worker remembers; about 180 bytes each.
 MEMO_WORDS = 600_000
+#: Words that are encoded as one text: a call costs as much as several words.
+JOINED_WORDS = 400
 #: Bytes of ids that a reader holds at once, unless one document has more.
 READ_BYTES = 4 << 20
 _NULL_KEY = -(2**63)
@@ -44,14 +46,37 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int, id_type: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.id_type = np.array([end_id], id_type).tobytes(), id_type
         self.memo: dict[str, bytes] = {"": b""}
+        # The last id of each pre-token is known by its suffix, if every byte has such an id.
+        vocab, suffix = self.tokenizer.get_vocab(with_added_tokens=False), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
+        self.joins = bool(suffix) and all(c + suffix in vocab for c in ByteLevel.alphabet())
 
     def ids(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.id_type).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def joined_ids(self, words: list[str]) -> list[bytes]:
+        """What `ids` gives of words of letters. Many are encoded as one text, and its ids are cut where pre-tokens end.
+
+        A word gives one pre-token at least; where there are more than words, the words are encoded one by one.
+        """
+        parts = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        out = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.id_type)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                out += [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+            else:
+                out += self.ids(part)
+        return out
+
     def learn(self, words: set[str]) -> None:
         """Letters with marks after them are two runs of the pattern, so each run is encoded once."""
         memo = self.memo
@@ -63,8 +88,11 @@ class WordEncoder:
                 whole.update((run, w[len(run) :]))
             else:
                 whole.add(w)
-        fresh = list(whole.difference(memo))
-        memo.update(zip(fresh, self.ids(fresh), strict=True))
+        fresh = whole.difference(memo)
+        letters = list(filter(str.isalpha, fresh)) if self.joins else []
+        memo.update(zip(letters, self.joined_ids(letters), strict=True))
+        others = list(fresh.difference(letters))
+        memo.update(zip(others, self.ids(others), strict=True))
         memo.update([(w, memo[run] + memo[marks]) for w, run, marks in split])
 
     def encode(self, batch: list[str]) -> list[bytes]:

@@ -17,7 +17,7 @@ from stormledger.llm.bpe_codec import ByteBpe, encode_documents
 from stormledger.llm.perfect_hash import PerfectHash
 from stormledger.llm.storage import locate
 from stormledger.llm.token_counts import MergeCounter, count_tokens
-from stormledger.llm.token_shards import ShardReader, read_shards, write_shards
+from stormledger.llm.token_shards import ShardReader, WordEncoder, read_shards, write_shards
 
 TEXTS = [
     "", " ", "\n \n", "  a\n\n b \t c", "\x1c a \x85b", "it's we'LL 'twas", "<|endoftext|> a<|endoftext|>\n", "aaaaaaaaaaaaaaaaaaaaaaaab" * 3, "日本語 テキスト’s", " lead", "trail ", "a  b", "x　 y z", "word%%% $$$ 12,345.6",
@@ -100,6 +100,25 @@ def test_shards_round_trip(spark, tmp_path):
     assert read_shards(write_shards(df.where("false"), P.path("word_bpe_49k.json"), f"file://{tmp_path}/e", 2)).collect() == []
 
 
+def test_words_of_letters_are_encoded_together(monkeypatch):
+    """Many words to a call, with the ids that the library gives of each; also where a word gives two pre-tokens or a letter's case adds a mark."""
+    r = random.Random(31)
+    words = ["".join(r.choices("abcdeéñßσςΣжКüÉo", k=r.randrange(1, 14))) for _ in range(3000)] + ["İstanbul", "ǰo", "ﬁn", "数据", "한국", "e\u0301te", "ªº", "it's", "a1b", "x\u0345y", "<|endoftext|>"]
+    library, given = Tokenizer.from_file(P.path("word_bpe_49k.json")), []
+    encoder = WordEncoder(P.path("word_bpe_49k.json"), 2, "<u2")
+
+    class Counted:
+        def encode_batch_fast(self, batch, **how):
+            given.append(len(batch))
+            return library.encode_batch_fast(batch, **how)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    encoder.learn(set(words[:3000]))
+    assert sum(given) <= 20
+    encoder.learn(set(words))
+    assert {w: np.frombuffer(encoder.memo[w], "<u2").tolist() for w in words} == {w: library.encode(w, add_special_tokens=False).ids for w in words}
+
+
 def test_perfect_hash():
     keys = [f"k{i}".encode() for i in range(5000)]
     ph = PerfectHash(keys)

@@ -6,15 +6,15 @@ shingles before p and b after it. Windows of different texts that share a functi
 room for a passage, all passages there share that min-hash. Passages that share it under enough functions are
 candidates, and their shingles decide.
 
-A key's windows first meet its leaders alone. Where a window's check fails, the windows of its key meet again by the
-min-hashes of as many functions as must agree, first with a leader, then those that failed with all others.
+A key's windows first meet its leaders alone. Where a window's check fails, the stretches that the windows of its key cover are
+cut out of their texts once and meet again, by the min-hashes of groups of further functions: first with a leader, then
+those that failed with all others of the group's key.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
-from itertools import combinations
 from operator import sub
 
 import numpy as np
@@ -33,6 +33,8 @@ SHINGLE, LEAST_WORDS, FUNCTIONS, AGREE, SIMILARITY = 5, 50, 6, 3, 0.8
 #: Windows that a task combines before it sends them on; words whose hashes it remembers; grid of requested passages.
 COMBINED, MEMO_WORDS, GRID = 1_500_000, 400_000, 64
 REACH = LEAST_WORDS - SHINGLE + 1  # shingles of the shortest passage
+#: Groups of further functions, and functions of a group, all of which must agree: passages with a Jaccard of 0.8 miss all groups with probability 0.03, those with 0.4 meet with 0.05.
+GROUPS, GROUPED = 12, 6
 _WINDOW = "key long, tid long, spot long, leader long, leader_spot long"
 
 
@@ -296,6 +298,11 @@ def verified(pairs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY
     two = prints.select(F.col("at").alias("leader_doc"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.col("prints").alias("y"))
     both = pairs.withColumn("lo_a", _down("start")).withColumn("hi_a", _up("stop")).withColumn("lo_b", _down("leader_start")).withColumn("hi_b", _up("leader_stop"))
     both = both.join(one, ["doc", "lo_a", "hi_a"]).join(two, ["leader_doc", "lo_b", "hi_b"])
+    return compared(both.select("tid", "start", "stop", "lo_a", "leader", "leader_start", "leader_stop", "lo_b", "x", "y"), similarity)
+
+
+def compared(both: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs with the prints of both sides, ``x`` from shingle ``lo_a`` on and ``y`` from ``lo_b`` on: their similar passages."""
     names = "tid long, start int, stop int, leader long, leader_start int, leader_stop int, similarity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +315,7 @@ def verified(pairs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY
             kinds = [pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], [c.split()[0] for c in names.split(", ")])
 
-    return both.select("tid", "start", "stop", "lo_a", "leader", "leader_start", "leader_stop", "lo_b", "x", "y").mapInArrow(run, names)
+    return both.mapInArrow(run, names)
 
 
 def _down(name: str) -> Column:
@@ -383,49 +390,34 @@ def unsettled(found: DataFrame, links: DataFrame) -> DataFrame:
     return sides.join(cut(failed), "key", "left_semi")
 
 
-def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFrame:
-    """Passages by the min-hashes of each ``agree`` functions: ``key``, ``tid``, and the first and last start ``lo``, ``hi``; ``leader``, ``leader_lo`` and ``leader_hi`` are those of the key's first text.
+def stretches(unsettled: DataFrame, agree: int = AGREE) -> DataFrame:
+    """Where windows of enough functions hold a passage: ``tid``, shingles ``lo`` to ``hi`` (end exclusive), as one where at most a passage's length lies between.
 
-    Keys of one text alone are left out. Two passages that agree under ``agree`` functions or more share a key, whichever windows they lie in.
+    Of two texts that agree under enough functions, none of whose keys is settled, both have such a place.
     """
 
-    def passages(tid: np.ndarray, key: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
+    def give(rows: np.ndarray) -> pa.RecordBatch:
+        tid, key, spot = rows.T
         p, a, b = spot >> 12, spot >> 6 & 63, spot & 63
-        lo, hi = p - a, p + b - reach + 1
-        new = np.append(True, tid[1:] != tid[:-1])
-        first = np.flatnonzero(new)
-        room = np.maximum.reduceat(hi, first) + 2
+        first = np.flatnonzero(np.append(True, tid[1:] != tid[:-1]))
+        room = np.maximum.reduceat(p + b, first) + 2
         base = np.cumsum(room) - room
-        shift = base[np.cumsum(new) - 1]
-        lo, hi = lo + shift, hi + shift
-        edges = np.unique(np.concatenate([lo, hi + 1]))  # between two edges no function's window changes
-        own = np.searchsorted(base, edges, "right") - 1
-        at: dict[int, tuple] = {}
-        for f in range(FUNCTIONS):
-            on = np.flatnonzero(key & 7 == f)
-            if len(on):
-                on = on[np.argsort(lo[on], kind="stable")]
-                i = np.searchsorted(lo[on], edges, "right") - 1
-                at[f] = (i >= 0) & (hi[on[i]] >= edges), key[on[i]].view(np.uint64)
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for some in combinations(sorted(at), agree):
-            e = np.flatnonzero(np.logical_and.reduce([at[f][0] for f in some]))
-            if len(e):
-                k = np.zeros(len(e), np.uint64)
-                for f in some:
-                    k = mixed(k ^ at[f][1][e], 50 + f)
-                head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (np.diff(e) > 1) | (own[e[1:]] != own[e[:-1]])]))
-                tail = np.append(head[1:], len(e)) - 1
-                text = own[e[head]]
-                for x, y in zip(out, (k[head].view(np.int64), tid[first][text], edges[e[head]] - base[text], edges[e[tail] + 1] - 1 - base[text]), strict=True):
-                    x.append(y)
-        k, t, lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
-        if len(k):  # a text's places under a key as one
-            order = np.lexsort((t, k))
-            k, t, lo, hi = k[order], t[order], lo[order], hi[order]
-            head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
-            k, t, lo, hi = k[head], t[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
-        return pa.RecordBatch.from_pydict({"key": k, "tid": t, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
+        shift = np.repeat(base, np.diff(np.append(first, len(tid))))
+        total = np.zeros(int(room.sum()) + 1, np.int8)
+        for f in range(FUNCTIONS):  # starts of passages under a window of the function
+            on = key & 7 == f
+            step = np.zeros(len(total) + 1, np.int64)
+            np.add.at(step, (p - a + shift)[on], 1)
+            np.add.at(step, (p + b - REACH + 2 + shift)[on], -1)
+            total += np.cumsum(step)[:-1] > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (total >= agree).astype(np.int8), [0]])))
+        lo, hi = edge[::2], edge[1::2] + REACH - 1
+        text = np.searchsorted(base, lo, "right") - 1
+        if len(lo):
+            new = np.append(True, (text[1:] != text[:-1]) | (lo[1:] - hi[:-1] > REACH))
+            last = np.append(np.flatnonzero(new)[1:], len(lo)) - 1
+            lo, text, hi = lo[new], text[new], hi[last]
+        return pa.RecordBatch.from_pydict({"tid": tid[first][text], "lo": (lo - base[text]).astype(np.int32), "hi": (hi - base[text]).astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty((0, 3), np.int64)
@@ -433,42 +425,92 @@ def agreeing(found: DataFrame, agree: int = AGREE, reach: int = REACH) -> DataFr
             rest = np.concatenate([rest, np.column_stack([batch.column(i).to_numpy() for i in range(3)])])
             last = np.flatnonzero(rest[:, 0] != rest[-1, 0]) if len(rest) else []
             if len(last):  # the last text may go on
-                yield passages(*rest[: last[-1] + 1].T.copy())
+                yield give(rest[: last[-1] + 1])
                 rest = rest[last[-1] + 1 :]
         if len(rest):
-            yield passages(*rest.T.copy())
+            yield give(rest)
+
+    return unsettled.select("tid", "key", "spot").repartition("tid").sortWithinPartitions("tid").mapInArrow(run, "tid long, lo int, hi int")
+
+
+def regrouped(parts: DataFrame) -> DataFrame:
+    """Passages of stretches (``tid``, ``part``, ``prints``) by the min-hashes of each group of functions: ``key``, ``tid``, ``part``, the first and last start ``lo`` and ``hi``, and the same of the key's first passage, as ``leader``, ``leader_part``, ``leader_lo``, ``leader_hi``.
+
+    Keys of one text alone are left out.
+    """
 
-    rows = found.select("tid", "key", "spot").repartition("tid").sortWithinPartitions("tid").mapInArrow(run, "key long, tid long, lo int, hi int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own_prints = [np.frombuffer(x, np.uint32) for x in batch.column(2).to_pylist()]
+            n = np.fromiter(map(len, own_prints), np.int64, len(own_prints))
+            ends, own = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+            start = np.flatnonzero(ends[own] >= np.arange(len(own)) + REACH)
+            if not len(start):
+                continue
+            prints, text = np.concatenate(own_prints).astype(np.uint64), own[start]
+            keys, texts_, first, last = [], [], [], []
+            for g in range(GROUPS):
+                k = np.full(len(start), g, np.uint64)
+                for f in range(g * GROUPED, (g + 1) * GROUPED):
+                    least = sliding_least((mixed(prints, 100 + f) >> np.uint64(32)).astype(np.int64), REACH)
+                    k = mixed(k ^ least[start].view(np.uint64), 50)
+                head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (text[1:] != text[:-1])))
+                tail = np.append(head[1:], len(k)) - 1
+                for x, y in zip((keys, texts_, first, last), (k[head].view(np.int64), text[head], start[head], start[tail]), strict=True):
+                    x.append(y)
+            k, t, lo, hi = map(np.concatenate, (keys, texts_, first, last))
+            order = np.lexsort((t, k))  # a stretch's places under a key as one
+            k, t, lo, hi = k[order], t[order], lo[order], hi[order]
+            head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
+            k, t, lo, hi = k[head], t[head], np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
+            tid, part = (batch.column(i).to_numpy()[t] for i in range(2))
+            shift = part - (ends - n)[t]
+            yield pa.RecordBatch.from_pydict({"key": k, "tid": tid, "part": part, "lo": (lo + shift).astype(np.int32), "hi": (hi + shift).astype(np.int32)})
+
+    rows = parts.select("tid", "part", "prints").mapInArrow(run, "key long, tid long, part int, lo int, hi int")
     over = Window.partitionBy("key")
-    rows = rows.withColumns({"n": F.count("*").over(over), "l": F.min(F.struct("tid", "lo", "hi")).over(over)}).where("n > 1")
-    return rows.select("key", "tid", "lo", "hi", F.col("l.tid").alias("leader"), F.col("l.lo").alias("leader_lo"), F.col("l.hi").alias("leader_hi"))
+    first = F.min(F.struct("tid", "part", "lo", "hi")).over(over)
+    rows = rows.withColumns({"l": first, "m": F.max("tid").over(over)}).where("l.tid <> m")
+    return rows.select("key", "tid", "part", "lo", "hi", *[F.col(f"l.{c}").alias(f"leader_{c}".replace("_tid", "")) for c in ("tid", "part", "lo", "hi")])
 
 
 def _hulls(met: DataFrame) -> DataFrame:
-    """One pair for each two texts of ``met``, over all passages with which they meet."""
-    ends = [F.min("lo").cast("int").alias("start"), (F.max("hi") + REACH).cast("int").alias("stop")]
-    ends += [F.min("leader_lo").cast("int").alias("leader_start"), (F.max("leader_hi") + REACH).cast("int").alias("leader_stop")]
-    return met.groupBy("tid", "leader").agg(*ends)
+    """One pair for each two stretches of ``met``, over all passages with which they meet."""
+    ends = [F.min("lo").alias("start"), (F.max("hi") + REACH).cast("int").alias("stop")]
+    ends += [F.min("leader_lo").alias("leader_start"), (F.max("leader_hi") + REACH).cast("int").alias("leader_stop")]
+    return met.groupBy("tid", "part", "leader", "leader_part").agg(*ends)
 
 
-def remaining_links(found: DataFrame, links: DataFrame, check) -> DataFrame:
-    """Links of the windows that the first matches left unsettled; ``check`` verifies pairs.
+def remaining_links(parts: DataFrame) -> DataFrame:
+    """Links of the stretches that the first matches left unsettled (``tid``, ``part``, their first shingle, and ``prints``).
 
-    By each key of ``agreeing``, texts are checked against the first text; those that fail there, against all texts of the key.
+    By each key of ``regrouped``, texts are checked against the first text; those that fail there, against all texts of the key.
     So no text is left with a failed partner only, and copies cost one check.
     """
-    met = cut(agreeing(unsettled(found, links)))
-    one = check(_hulls(met.where("tid <> leader")))
+    met = cut(regrouped(parts))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        """What lies between the ends of each side is cut out before it is sent on."""
+        def inside(start: str, stop: str, part: str) -> Column:
+            return F.col("prints").substr(4 * (F.col(start) - F.col(part)) + 1, 4 * (F.col(stop) - F.col(start)))
+
+        other = parts.select(F.col("tid").alias("leader"), F.col("part").alias("leader_part"), "prints")
+        both = pairs.join(parts.select("tid", "part", "prints"), ["tid", "part"]).withColumn("x", inside("start", "stop", "part")).drop("prints")
+        both = both.join(other, ["leader", "leader_part"]).withColumn("y", inside("leader_start", "leader_stop", "leader_part"))
+        return cut(compared(both.select("tid", "start", "stop", F.col("start").alias("lo_a"), "leader", "leader_start", "leader_stop", F.col("leader_start").alias("lo_b"), "x", "y")))
+
+    one = check(cut(_hulls(met.where("tid <> leader"))))
     good = one.select("tid", "leader", "start", "stop")
     failed = met.where("tid <> leader")
     inside = (good["start"] < failed["hi"] + REACH) & (good["stop"] > failed["lo"])
     left = failed.join(good, (failed["tid"] == good["tid"]) & (failed["leader"] == good["leader"]) & inside, "left_anti")
-    left = cut(left.select("key", *[F.col(c).alias(f"own_{c}") for c in ("tid", "lo", "hi")], "leader"))
-    every = met.select("key", "tid", "lo", "hi").join(left, "key").where("tid <> own_tid and tid <> leader")
+    own = ("tid", "part", "lo", "hi")
+    left = cut(left.select("key", *[F.col(c).alias(f"own_{c}") for c in own], "leader"))
+    every = met.select("key", *own).join(left, "key").where("tid <> own_tid and tid <> leader")
     swap = F.col("own_tid") > F.col("tid")
     side = lambda c, up: F.when(swap == F.lit(up), F.col(f"own_{c}")).otherwise(F.col(c))
-    every = every.select(*[side(c, True).alias(c) for c in ("tid", "lo", "hi")], side("tid", False).alias("leader"), side("lo", False).alias("leader_lo"), side("hi", False).alias("leader_hi"))
-    return one.unionAll(check(_hulls(every)))
+    every = every.select(*[side(c, True).alias(c) for c in own], *[side(c, False).alias(f"leader_{c}".replace("_tid", "")) for c in own])
+    return one.unionAll(check(cut(_hulls(every))))
 
 
 def merged(spans: list) -> str:
@@ -489,8 +531,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the same text; ``n_links``, texts it was verified against with success; ``spans``, its repeated passages as ``from-to`` in words; of
     texts with copies that have 50 words, the whole. Passages are words in lower case, compared by their shingles of five.
 
-    A window is verified against the leader of its key; only where that fails, against others that share enough
-    min-hashes with it (see ``remaining_links``). So copies' classes come without all pairs. Null texts are empty, short texts have no passages. Ids must be whole numbers; rows with a null id are
+    A window is verified against the leader of its key; only where that fails, against others that share the
+    min-hashes of a group of functions with it (see ``remaining_links``). So copies' classes come without all pairs. Null texts are empty, short texts have no passages. Ids must be whole numbers; rows with a null id are
     left out of all groups (class null, no spans), repeated ids are kept. Other columns are ignored.
     """
 
@@ -521,7 +563,9 @@ def _told(known: DataFrame, key_of) -> tuple[DataFrame, DataFrame]:
         return cut(verified(placed, cut(passage_prints(known, one.unionAll(two).distinct()))))
 
     links = check(candidate_passages(found.where("leader <> tid")))
-    links = cut(links.unionAll(remaining_links(found, links, check)))
+    asked = cut(stretches(unsettled(found, links)).join(heads.select("tid", F.col("doc").alias("at")), "tid"))
+    parts = cut(passage_prints(known, asked.select("at", "lo", "hi")).join(asked, ["at", "lo", "hi"]).select("tid", F.col("lo").alias("part"), "prints"))
+    links = cut(links.unionAll(remaining_links(parts)))
     of = connected_components(links.select(F.col("tid").alias("u"), F.col("leader").alias("v")))
     sides = links.select("tid", F.col("leader").alias("other"), "start", "stop").unionAll(links.select(F.col("leader").alias("tid"), F.col("tid").alias("other"), F.col("leader_start").alias("start"), F.col("leader_stop").alias("stop")))
 

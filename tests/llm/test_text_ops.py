@@ -7,13 +7,14 @@ import random
 import re
 import struct
 from collections import defaultdict
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stormledger.llm import queries
+from stormledger.llm import queries, substring_dedup
 from stormledger.llm.components import connected_components
 from stormledger.llm.decontaminate import contaminated, lcs_length
 from stormledger.llm.multiset_hash import Hasher, as_text, combine, edited_fingerprints
@@ -332,6 +333,28 @@ def test_repeated_passages_of_common_sentences(spark):
     assert {k for k, x in got.items() if x.spans} == {k for x in pairs for k in x}
 
 
+def test_texts_that_share_a_sentence_alone_hardly_meet(spark, monkeypatch):
+    """Texts around one common sentence are compared with its key's first text, but seldom with each other; edited copies among them are found."""
+    r = random.Random(16)
+    line = prose(r, 24, 9000)
+    texts = [prose(r, 60, 9000) + " " + line + " " + prose(r, 60, 9000) for _ in range(120)]
+    for i in range(0, 20, 2):
+        w = texts[i].split()
+        w[r.choice((30, 110))] = "changed"
+        texts[i + 1] = " ".join(w)
+    met, hulls = [], substring_dedup._hulls
+
+    def counted(pairs):
+        met.append(hulls(pairs).count())
+        return hulls(pairs)
+
+    monkeypatch.setattr(substring_dedup, "_hulls", counted)
+    monkeypatch.setattr(substring_dedup, "tidy", lambda _: nullcontext())  # pairs are counted besides
+    got = {x.doc_id: x.class_id for x in repeated_passages(documents(spark, texts)).collect()}
+    assert got == {k: k - k % 2 if k < 20 else k for k in range(120)}
+    assert sum(met) < 600
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

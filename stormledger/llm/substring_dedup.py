@@ -8,7 +8,7 @@ candidates, and their shingles decide.
 
 A key's windows first meet its leaders alone. Where a window's check fails, the stretches that the windows of its key cover are
 cut out of their texts once and meet again, by the min-hashes of groups of further functions: first with a leader, then
-those that failed with all others of the group's key.
+those that failed with a few texts of each class of the group's key.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from .perfect_hash import mixed
 
 #: Words of a shingle, words of the shortest passage, hash functions, functions that must agree, similarity.
 SHINGLE, LEAST_WORDS, FUNCTIONS, AGREE, SIMILARITY = 5, 50, 6, 3, 0.8
-#: Windows that a task combines before it sends them on; words whose hashes it remembers; grid of requested passages.
-COMBINED, MEMO_WORDS, GRID = 1_500_000, 400_000, 64
+#: Windows that a task combines before it sends them on; words that are hashed at once; grid of requested passages.
+COMBINED, AT_ONCE, GRID = 1_500_000, 10_000, 64
+#: The base of words' hashes, and its inverse modulo 2^64.
+_BASE, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 REACH = LEAST_WORDS - SHINGLE + 1  # shingles of the shortest passage
 #: Groups of further functions, and functions of a group, all of which must agree: passages with a Jaccard of 0.8 miss all groups with probability 0.03, those with 0.4 meet with 0.05.
 GROUPS, GROUPED = 12, 6
@@ -45,23 +47,25 @@ def text_key(text: str) -> int:
 
 
 class Shingler:
-    """Shingle hashes of texts; remembers its words' hashes."""
+    """Shingle hashes of texts; a word's hash is a difference of running sums over the bytes of many."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        b = np.frombuffer(" ".join(words).encode(), np.uint8)
+        if len(b) >= len(self.powers):
+            self.powers, self.inverses = (np.multiply.accumulate(np.append(np.uint64(1), np.full(2 * len(b), x, np.uint64))) for x in (_BASE, _INVERSE))
+        end = np.append(np.flatnonzero(b == 32), len(b))
+        start = np.append(0, end[:-1] + 1)
+        sums = np.append(np.uint64(0), np.cumsum(b * self.powers[: len(b)]))
+        return mixed((sums[end] - sums[start]) * self.inverses[start], 2)
 
     def __call__(self, text: str) -> np.ndarray:
-        words, memo = text.lower().split(), self.memo
+        words = text.lower().split()
         if len(words) < SHINGLE:
             return np.empty(0, np.uint64)
-        missing = {w for w in words if w not in memo}
-        if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = set(words)
-            one = xxhash.xxh64_intdigest
-            memo.update((w, one(w)) for w in missing)
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        h = np.concatenate([self.words(words[i : i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)])
         n = len(words) - SHINGLE + 1
         out = h[:n].copy()
         for i in range(1, SHINGLE):
@@ -70,14 +74,12 @@ class Shingler:
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each ``width`` neighbours, from block-wise running minima in both directions."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.int64).max)
-    padded[:n] = x
-    grid = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    """The least of each ``width`` neighbours, from the least of 2, 4, 8 and so on."""
+    have = 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    return np.minimum(x[: len(x) - (width - have)], x[width - have :])
 
 
 def compact_windows(shingles: np.ndarray, owner_end: np.ndarray, function: int, reach: int = REACH) -> tuple[np.ndarray, ...]:
@@ -481,11 +483,54 @@ def _hulls(met: DataFrame) -> DataFrame:
     return met.groupBy("tid", "part", "leader", "leader_part").agg(*ends)
 
 
-def remaining_links(parts: DataFrame) -> DataFrame:
-    """Links of the stretches that the first matches left unsettled (``tid``, ``part``, their first shingle, and ``prints``).
+def _edges(links: DataFrame) -> DataFrame:
+    return links.select(F.col("tid").alias("u"), F.col("leader").alias("v"))
+
+
+def _sides(links: DataFrame) -> DataFrame:
+    """Each link from both of its texts: ``tid``, ``other``, ``start``, ``stop``."""
+    there = links.select(F.col("leader").alias("tid"), F.col("tid").alias("other"), F.col("leader_start").alias("start"), F.col("leader_stop").alias("stop"))
+    return links.select("tid", F.col("leader").alias("other"), "start", "stop").unionAll(there)
+
 
-    By each key of ``regrouped``, texts are checked against the first text; those that fail there, against all texts of the key.
-    So no text is left with a failed partner only, and copies cost one check.
+def _unmet(met: DataFrame, links: DataFrame, one: DataFrame, of: DataFrame) -> DataFrame:
+    """Whom the passages of ``met`` that failed with their key's first text meet next; rows as ``_hulls`` takes them.
+
+    ``links`` are all that is known so far, ``one`` those with the keys' first texts, ``of`` the classes that links make. Of each class
+    that a key holds four texts stand for it, the first and last by their keys and by another hash. A passage without any link meets those of
+    all classes of its key, its own among them; for passages that have one, the first and last of each two classes meet. So there are as many pairs as passages and classes, not as texts and texts.
+    """
+    good = one.select("tid", "leader", "start", "stop")
+    failed = met.where("tid <> leader")
+    inside = (good["start"] < failed["hi"] + REACH) & (good["stop"] > failed["lo"])
+    left = failed.join(good, (failed["tid"] == good["tid"]) & (failed["leader"] == good["leader"]) & inside, "left_anti")
+    own = ("tid", "part", "lo", "hi")
+    left = cut(left.select("key", *own, "leader"))
+    keys = left.groupBy("key").agg(F.min("leader").alias("leader"))  # the same for all rows of a key
+    there = met.select("key", *own).join(keys, "key").join(of.select(F.col("node").alias("tid"), "component"), "tid", "left")
+    by = F.struct(F.xxhash64("tid").alias("h"), *own)  # any order of its own
+    ends = [F.min(F.struct(*own)).alias("a"), F.max(F.struct(*own)).alias("b"), F.min(by).alias("x"), F.max(by).alias("y")]
+    there = there.groupBy("key", "leader", F.coalesce("component", "tid").alias("c")).agg(*ends)
+    more = [F.struct(*[F.col(f"{x}.{c}").alias(c) for c in own]) for x in "xy"]
+    heads = there.select("key", "leader", "c", "a", "b", F.explode(F.array_distinct(F.array("a", "b", *more))).alias("other"))
+    heads = cut(heads.select("key", "leader", "c", "other", F.col("other").isin(F.col("a"), F.col("b")).alias("outer")).where("other.tid <> leader"))
+    spans = _sides(links).groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    settled = F.exists("spans", lambda x: (x["start"] <= F.col("hi")) & (x["stop"] >= F.col("lo") + REACH))
+    alone = left.join(spans, "tid", "left").where(~F.coalesce(settled, F.lit(False)))
+    each = alone.select("key", F.struct(*own).alias("own")).join(heads.select("key", "other"), "key").where("own.tid <> other.tid")
+    others = heads.where("outer").select("key", F.col("c").alias("own_c"), F.col("other").alias("own"))
+    across = others.join(heads.where("outer").select("key", "c", "other"), "key").where("own_c < c").select("key", "own", "other")
+    every = each.unionAll(across)
+    swap = F.col("own.tid") < F.col("other.tid")
+    side = lambda c, up: F.when(swap == F.lit(up), F.col(f"own.{c}")).otherwise(F.col(f"other.{c}"))
+    return every.select(*[side(c, True).alias(c) for c in own], *[side(c, False).alias(f"leader_{c}".replace("_tid", "")) for c in own])
+
+
+def remaining_links(parts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and the classes that they make (``node``, ``component``): ``links`` and those of the stretches that they leave unsettled (``tid``, ``part``, their first shingle, and ``prints``).
+
+    By each key of ``regrouped``, texts are checked against the first text; what fails there, by ``_unmet``. So no passage is left
+    with a failed partner only, copies cost one check, and what links connect already isn't compared again.
     """
     met = cut(regrouped(parts))
 
@@ -500,17 +545,17 @@ def remaining_links(parts: DataFrame) -> DataFrame:
         return cut(compared(both.select("tid", "start", "stop", F.col("start").alias("lo_a"), "leader", "leader_start", "leader_stop", F.col("leader_start").alias("lo_b"), "x", "y")))
 
     one = check(cut(_hulls(met.where("tid <> leader"))))
-    good = one.select("tid", "leader", "start", "stop")
-    failed = met.where("tid <> leader")
-    inside = (good["start"] < failed["hi"] + REACH) & (good["stop"] > failed["lo"])
-    left = failed.join(good, (failed["tid"] == good["tid"]) & (failed["leader"] == good["leader"]) & inside, "left_anti")
-    own = ("tid", "part", "lo", "hi")
-    left = cut(left.select("key", *[F.col(c).alias(f"own_{c}") for c in own], "leader"))
-    every = met.select("key", *own).join(left, "key").where("tid <> own_tid and tid <> leader")
-    swap = F.col("own_tid") > F.col("tid")
-    side = lambda c, up: F.when(swap == F.lit(up), F.col(f"own_{c}")).otherwise(F.col(c))
-    every = every.select(*[side(c, True).alias(c) for c in own], *[side(c, False).alias(f"leader_{c}".replace("_tid", "")) for c in own])
-    return one.unionAll(check(cut(_hulls(every))))
+    links = cut(links.unionAll(one))
+    of = cut(connected_components(_edges(links)))
+    two = check(cut(_hulls(_unmet(met, links, one, of))))
+    # The last links connect whole classes.
+    class_of = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
+    between = _edges(two).distinct().join(class_of("u"), "u", "left").join(class_of("v"), "v", "left")
+    between = between.select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
+    wider = connected_components(between)
+    all_nodes = of.unionAll(_edges(two).select(F.explode(F.array("u", "v")).alias("node")).distinct().join(of, "node", "left_anti").select("node", F.col("node").alias("component")))
+    of = all_nodes.join(wider.select(F.col("node").alias("component"), F.col("component").alias("w")), "component", "left").select("node", F.coalesce("w", "component").alias("component"))
+    return cut(links.unionAll(two)), cut(of)
 
 
 def merged(spans: list) -> str:
@@ -532,7 +577,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts with copies that have 50 words, the whole. Passages are words in lower case, compared by their shingles of five.
 
     A window is verified against the leader of its key; only where that fails, against others that share the
-    min-hashes of a group of functions with it (see ``remaining_links``). So copies' classes come without all pairs. Null texts are empty, short texts have no passages. Ids must be whole numbers; rows with a null id are
+    min-hashes of a group of functions with it, one by one or by their classes (see ``remaining_links``). So copies' classes come without all pairs. Null texts are empty, short texts have no passages. Ids must be whole numbers; rows with a null id are
     left out of all groups (class null, no spans), repeated ids are kept. Other columns are ignored.
     """
 
@@ -565,9 +610,8 @@ def _told(known: DataFrame, key_of) -> tuple[DataFrame, DataFrame]:
     links = check(candidate_passages(found.where("leader <> tid")))
     asked = cut(stretches(unsettled(found, links)).join(heads.select("tid", F.col("doc").alias("at")), "tid"))
     parts = cut(passage_prints(known, asked.select("at", "lo", "hi")).join(asked, ["at", "lo", "hi"]).select("tid", F.col("lo").alias("part"), "prints"))
-    links = cut(links.unionAll(remaining_links(parts)))
-    of = connected_components(links.select(F.col("tid").alias("u"), F.col("leader").alias("v")))
-    sides = links.select("tid", F.col("leader").alias("other"), "start", "stop").unionAll(links.select(F.col("leader").alias("tid"), F.col("tid").alias("other"), F.col("leader_start").alias("start"), F.col("leader_stop").alias("stop")))
+    links, of = remaining_links(parts, links)
+    sides = _sides(links)
 
     @F.pandas_udf("string")
     def joined(spans: pd.Series) -> pd.Series:
